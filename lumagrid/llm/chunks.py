@@ -12,6 +12,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Unicode White_Space.
@@ -22,6 +24,8 @@ _RARE_WHITE = regex.compile("[\\x0B\\x0C\\x1C-\\x1F\\x85\\xA0\\u1680\\u2000-\\u2
 CHUNKS = 1_200_000
 #: Words that are turned into ids at once.
 BLOCK = 200_000
+#: Characters of texts that are cut together.
+SLICE = 8_000_000
 
 
 def gather(blob: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -36,6 +40,8 @@ def gather(blob: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 def _risky(text: str) -> bool:
     if "  " in text or "\n " in text or "\t" in text or "\r" in text:
         return True
+    if text.isascii():
+        return any(c in text for c in "\x0b\x0c\x1c\x1d\x1e\x1f")
     return _RARE_WHITE.search(text) is not None
 
 
@@ -114,44 +120,38 @@ class ChunkEncoder:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Many short texts at once: one lookup for all their words."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        first: list[str] = []
-        rest: list[str] = []
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         group: list[int] = []
-        counts: list[int] = []
-
-        def flush() -> None:
-            if not group:
-                return
-            if self.n > CHUNKS:
-                self._clear()
-            heads, tails = self._codes(self.plain, first), self._codes(self.spaced, rest)
-            self._learn()
-            n = np.array(counts)
-            codes = np.empty(len(heads) + len(tails), np.int64)
-            is_head = np.zeros(len(codes), bool)
-            is_head[np.cumsum(n) - n] = True
-            codes[is_head], codes[~is_head] = heads, tails
-            lengths = self.length[codes]
-            ids = gather(self.ids, self.start[codes], lengths)
-            ends = np.cumsum(np.add.reduceat(lengths, np.cumsum(n) - n))
-            for i, (lo, hi) in zip(group, zip(np.concatenate([[0], ends[:-1]]), ends, strict=True), strict=True):
-                out[i] = ids[lo:hi]
-            for x in (first, rest, group, counts):
-                x.clear()
-
+        size = 0
         for i, text in enumerate(texts):
             if not text:
-                out[i] = np.zeros(0, np.uint32)
-            elif len(text) > 400_000 or _risky(text):
+                continue
+            if len(text) > SLICE or _risky(text):
                 out[i] = self.encode(text)
-            else:
-                words = text.split(" ")
-                first.append(words[0])
-                rest.extend(words[1:])
-                group.append(i)
-                counts.append(len(words))
-                if len(rest) > BLOCK:
-                    flush()
-        flush()
-        return out  # type: ignore[return-value]
+                continue
+            group.append(i)
+            size += len(text)
+            if size > SLICE:
+                self._group(texts, group, out)
+                group, size = [], 0
+        if group:
+            self._group(texts, group, out)
+        return out
+
+    def _group(self, texts: list[str], group: list[int], out: list[np.ndarray]) -> None:
+        """Arrow cuts at spaces and numbers the distinct words; only those are looked up one by one."""
+        if self.n > CHUNKS:
+            self._clear()
+        split = pc.split_pattern(pa.array([texts[i] for i in group], pa.large_string()), " ")
+        words = split.values.dictionary_encode()
+        first = split.offsets.to_numpy()
+        codes = self._codes(self.spaced, words.dictionary.to_pylist())[words.indices.to_numpy()]
+        codes[first[:-1]] = self._codes(self.plain, split.values.take(pa.array(first[:-1])).to_pylist())
+        self._learn()
+        lengths = self.length[codes]
+        ids = gather(self.ids, self.start[codes], lengths)
+        ends = np.cumsum(np.add.reduceat(lengths, first[:-1])).tolist()
+        lo = 0
+        for i, hi in zip(group, ends, strict=True):
+            out[i] = ids[lo:hi]
+            lo = hi

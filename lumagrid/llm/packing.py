@@ -126,13 +126,26 @@ def _encoder(definition: str) -> ChunkEncoder:
         t.no_truncation()
 
         def many(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            ids, counts = [np.zeros(0, np.uint32)], []
-            for lo in range(0, len(chunks), 20_000):
-                got = [e.ids for e in t.encode_batch_fast(chunks[lo : lo + 20_000], add_special_tokens=False)]
-                counts += map(len, got)
-                ids.append(np.fromiter((x for g in got for x in g), np.uint32))
-            return np.concatenate(ids), np.array(counts, np.int64)
-
+            """Chunks without a line feed are joined by one, which is a match and an id of its own there."""
+            ids: list = [()] * len(chunks)
+            joined = [i for i, c in enumerate(chunks) if c[:1] == " " and len(c) > 1 and "\n" not in c]
+            for lo in range(0, len(joined), 50_000):
+                part = joined[lo : lo + 50_000]
+                got = np.array(t.encode_batch_fast(["\n".join(chunks[i] for i in part)], add_special_tokens=False)[0].ids, np.uint32)
+                for i, x in zip(part, np.split(got, np.flatnonzero(got == feed)), strict=True):
+                    ids[i] = x if x[:1] != feed else x[1:]
+            rest = sorted(set(range(len(chunks))).difference(joined))
+            for lo in range(0, len(rest), 20_000):
+                part = rest[lo : lo + 20_000]
+                for i, e in zip(part, t.encode_batch_fast([chunks[i] for i in part], add_special_tokens=False), strict=True):
+                    ids[i] = e.ids
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.uint32), counts
+
+        feed = t.encode("\n", add_special_tokens=False).ids
+        if len(feed) != 1:
+            raise ValueError("the tokenizer has no id for a line feed")
+        feed = feed[0]
         _made[definition] = ChunkEncoder(many, lambda text: [text])
     return _made[definition]
 

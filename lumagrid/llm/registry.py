@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_groups
+from .language import identify
 from .packing import pack
 from .quality import quality_scores
+from .substring_dedup import dedup_substrings
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,14 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(spark, table(spark, sf_dir, "documents"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_units", "n_removed", "removed_chars", "removed_spans")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -32,6 +42,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_language": op3_language,
+    "op4_substring_dedup": op4_substring_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
     "op10_quality": op10_quality,
