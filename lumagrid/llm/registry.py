@@ -11,6 +11,7 @@ from .bpe import encode_decode
 from .common import table
 from .exact_dedup import exact_groups
 from .language import identify
+from .ngram_join import jaccard_groups
 from .packing import pack
 from .quality import quality_scores
 from .substring_dedup import dedup_substrings
@@ -32,6 +33,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_units", "n_removed", "removed_chars", "removed_spans")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_language": op3_language,
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_ngram_join": op6_ngram_join,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
     "op10_quality": op10_quality,
