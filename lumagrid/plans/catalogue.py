@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import ship
 from ..functions import color, geometry, report, tone
 from ..operators import cells, media, packed, render
 from ..sources import adapters, frame_files
@@ -26,7 +27,11 @@ def longs(df: DataFrame) -> DataFrame:
 
 def query(name: str, sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: longs(f(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return longs(f(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql:
             ORACLE_SQL[name] = sql
         return f
