@@ -55,21 +55,46 @@ def digests(text: str, spans: list[tuple[int, int, int]]) -> bytes:
     return b"".join(xxhash.xxh3_128_digest(" ".join(low[a:b].split())) for a, b, _ in spans)
 
 
+def first_places(text: str | None) -> dict[bytes, int]:
+    """Digest -> place of its first unit in the text."""
+    out: dict[bytes, int] = {}
+    if text:
+        d = digests(text, units(text))
+        for k in range(len(d) // 16):
+            out.setdefault(d[16 * k : 16 * k + 16], k)
+    return out
+
+
+def repeated_places(text: str, own: object, elsewhere: dict[int, object]) -> dict[int, object]:
+    """Places of repeated units with the document of the earliest occurrence.
+
+    elsewhere says so for the first place of a digest; later places follow it, or else are the text's own.
+    """
+    seen: dict[bytes, int] = {}
+    d = digests(text, units(text))
+    out = {}
+    for k in range(len(d) // 16):
+        first = seen.setdefault(d[16 * k : 16 * k + 16], k)
+        if first in elsewhere:
+            out[k] = elsewhere[first]
+        elif first != k:
+            out[k] = own
+    return out
+
+
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for lo in range(0, whole.num_rows, 2000):
-            b = whole.slice(lo, 2000)
-            counts, raw = [], []
-            for t in b.column("__text").to_pylist():
-                spans = units(t) if t else []
-                counts.append(len(spans))
-                raw.append(digests(t, spans) if spans else b"")
-            n = np.array(counts, np.int64)
-            rows = np.repeat(np.arange(len(n)), n)
+        for lo in range(0, whole.num_rows, 1000):
+            b = whole.slice(lo, 1000)
+            rows, place, raw = [], [], []
+            for i, t in enumerate(b.column("__text").to_pylist()):
+                for k, x in first_places(t).items():
+                    rows.append(i)
+                    place.append(x)
+                    raw.append(k)
             d = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
-            place = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([b.column("__doc").take(take), b.column("__text_hash").take(take), pa.array(place.astype(np.int32)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names=["__doc", "__text_hash", "__place", "__d1", "__d2"])
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("__doc").take(take), b.column("__text_hash").take(take), pa.array(place, pa.int32()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names=["__doc", "__text_hash", "__place", "__d1", "__d2"])
 
 
 def cut(text: str, repeated: dict[int, object], min_words: int) -> tuple[str, list[tuple[int, int]], int]:
@@ -109,7 +134,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
 
     removed_spans is an array of structs (start, stop) of character offsets in the original text. Null text
     stays null and has no units; a text that is repeated as a whole becomes empty. Documents with a null id
-    rank last. Rows that repeat an id and its text are one document and get the same result. Columns of docs
+    rank last. Rows that share an id rank alike, so what only they have in common stays. Columns of docs
     that are called like a result column are replaced; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -119,24 +144,28 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     keyed = docs.select(*docs.columns, F.col(id_col).alias("__doc"), F.xxhash64(F.col(text_col)).alias("__text_hash"))
     kind = dict(docs.dtypes)[id_col]
     unit_rows = keyed.select(*_KEY, F.col(text_col).alias("__text")).mapInArrow(_unit_rows, f"__doc {kind}, __text_hash long, __place int, __d1 long, __d2 long")
-    first = F.struct(F.col("__doc").isNull().alias("n"), F.col("__doc").alias("d"), F.col("__text_hash").alias("h"), F.col("__place").alias("p"))
-    # Copies of one row count as one occurrence: what matters is whether another place is earlier.
-    groups = store.put(unit_rows.groupBy("__d1", "__d2").agg(F.min(first).alias("__first"), F.count("*").alias("__n")).filter("__n > 1"))
+    # A document names each of its digests once; what it repeats itself is found again when it is cut.
+    groups = store.put(unit_rows.groupBy("__d1", "__d2").agg(F.min("__doc").alias("__first"), F.count("*").alias("__n")).filter("__n > 1"))
     total = groups.agg(F.sum("__n")).first()[0] or 0
     met = join_hot(unit_rows, groups, ["__d1", "__d2"], F.col("__n"), total)
-    places = met.filter(~first.eqNullSafe(F.col("__first"))).groupBy(*_KEY).agg(F.collect_set(F.struct(F.col("__place").alias("p"), F.col("__first.d").alias("d"))).alias("__places"))
+    elsewhere = met.filter(~F.col("__doc").eqNullSafe(F.col("__first")))
+    places = elsewhere.groupBy(*_KEY).agg(F.collect_set(F.struct(F.col("__place").alias("p"), F.col("__first").alias("d"))).alias("__places"))
     places = places.select(F.col("__doc").alias("__pd"), F.col("__text_hash").alias("__ph"), "__places")
     joined = keyed.join(places, keyed["__doc"].eqNullSafe(F.col("__pd")) & (keyed["__text_hash"] == F.col("__ph")), "left").drop("__pd", "__ph", "__doc", "__text_hash")
     names = docs.columns
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2000):
-                b = whole.slice(lo, 2000)
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
                 out = []
-                for t, p in zip(b.column(text_col).to_pylist(), b.column("__places").to_pylist(), strict=True):
-                    n = len(units(t)) if t else 0
-                    out.append((t, [], 0, n) if not p else (*cut(t, {x["p"]: x["d"] for x in p}, min_words), n))
+                for own, t, p in zip(b.column(id_col).to_pylist(), b.column(text_col).to_pylist(), b.column("__places").to_pylist(), strict=True):
+                    if not t:
+                        out.append((t, [], 0, 0))
+                        continue
+                    repeated = repeated_places(t, own, {x["p"]: x["d"] for x in p or ()})
+                    n = len(units(t))
+                    out.append((*cut(t, repeated, min_words), n) if repeated else (t, [], 0, n))
                 columns = {c: b.column(c) for c in names}
                 columns[text_col] = pa.array([x[0] for x in out], pa.string())
                 columns["n_units"] = pa.array([x[3] for x in out], pa.int64())
