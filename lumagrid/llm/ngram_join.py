@@ -5,18 +5,21 @@ hash. If two sets of sizes n, m have Jaccard similarity of at least t, they shar
 members, and so at least l members of their l-prefixes, the first n - ceil(t * n) + l members. Each document
 chooses its own l of MATCHES: the one with the least estimated cost, which is the postings that the
 longer prefix makes (by the members' frequencies) plus the candidates that are left if l of
-them have to agree. A pair needs min(l, l') common prefix members before its sets are compared.
+them have to agree. A pair needs min(l, l') common prefix members before its sets are compared. Large sets
+always ask for several matches (``least_matches``), so a document with fewer shared prefix members is out.
 
 Steps, each over all documents:
 1. sets, digests, and the frequent shingles (those of a share of at least FREQUENT of all shingle
    occurrences, so 1 / FREQUENT at most: the only thing that is broadcast); equal sets form one class;
-2. prefixes: (shingle, class); a shingle with several classes makes its smallest class the pivot of a cell,
-   and all its classes members of that cell. So a candidate pair is in a common cell, and a cell is written
-   as (pivot, member) rows, never as pairs;
-3. the members' sets meet by cell, cells of over CELL_WEIGHT shingles or CELL_DOCS documents cut into blocks
-   that meet two by two; a task counts common prefix members, verifies exactly, and returns edges that
-   span what is linked (fewer than members);
-4. connected components of the edges.
+2. prefixes: (shingle, class), exchanged once by shingle; shingles with a single class are out. A shingle of
+   at most SMALL classes yields its pairs, which are counted; a more common one never yields pairs but ties its
+   classes to the smallest of them. A pair is a candidate if its count, with as many common ones as both
+   have, reaches the matches that sets of that size ask for; ties count only between documents with so many;
+3. the connected groups of candidates: each document's set goes to its own group, once; groups of over
+   GROUP_WEIGHT shingles or GROUP_DOCS documents are dealt into overlapping bands of sizes and blocks that meet
+   two by two. A task counts common prefix members, verifies exactly, and returns edges that span what is
+   linked (fewer than members);
+4. the connected components of the edges.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Staging
@@ -34,14 +37,22 @@ from .joins import components, join_hot
 from .shingles import shingle_sets, slices
 
 #: A shingle is frequent from this share of all on (and from LEAST_FREQUENT occurrences).
-FREQUENT = 2e-6
+FREQUENT = 2e-7
+#: Classes of a shingle up to which its pairs are counted one by one (at most SMALL * (SMALL - 1) / 2).
+SMALL = 12
 LEAST_FREQUENT = 8
 #: Shingles that a task counts at once; single ones among them are not sent.
 COUNT_AT_ONCE = 2_000_000
 #: The numbers of prefix matches a document can ask for.
-MATCHES = (1, 2, 4, 8)
-CELL_WEIGHT = 1_000_000
-CELL_DOCS = 2000
+MATCHES = (1, 2, 4, 8, 16, 20, 50, 120, 240)
+#: (From this size on, at least so many matches); both rise.
+LEAST_MATCHES = ((0, 1), (60, 2), (150, 4), (400, 8), (1000, 20), (2500, 50), (6000, 120))
+GROUP_WEIGHT = 1_000_000
+GROUP_DOCS = 2000
+
+
+def least_matches(n: int) -> int:
+    return max(m for size, m in LEAST_MATCHES if n >= size)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -103,7 +114,8 @@ class Order:
         """(members in order, prefix length, matches asked for); only the start of the members unless whole."""
         n = len(s)
         spare = n - self.needed(n)
-        most = min(n, spare + MATCHES[-1])
+        low = least_matches(n)
+        most = min(n, spare + next(m for m in MATCHES if m >= 2 * low))
         part = s if whole else s[: min(n, 2 * most + 16)]
         f = self.frequency(part)
         if not whole and int((f == 0).sum()) < most:
@@ -112,27 +124,30 @@ class Order:
             by = np.lexsort((part, f))
             part, f = part[by], f[by]
         cost = np.cumsum(np.maximum(f[:most], 1))
-        best = min((m for m in MATCHES if m <= max(1, n - spare) and spare + m <= n), key=lambda m: cost[spare + m - 1] * (1 + 1 / m))
+        best = min((m for m in MATCHES if low <= m and spare + m <= most), key=lambda m: cost[spare + m - 1] * (1 + 1 / m))
         return part, spare + best, best
 
 
 def _postings(k: int, order):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = order.value
+        seen: set[int] = set()  # classes of this task: 60 bytes or so each
         for _, sets in _sets(batches, k):
             prefixes, own = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for s in sets:
-                if len(s):
+                d = _digest(s)[0]
+                if len(s) and d not in seen:
+                    seen.add(d)
                     members, p, _ = o.prefix(s)
                     prefixes.append(members[:p])
-                    own.append(np.full(p, _digest(s)[0]))
+                    own.append(np.full(p, d))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes).view(np.int64)), pa.array(np.concatenate(own))], names=["token", "d1"])
 
     return run
 
 
 def _dealt(k: int, order):
-    """A document's ordered set for each of its cells, once for each pair of blocks it takes part in."""
+    """A document's ordered set for its group, once for each pair of blocks it takes part in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = order.value
@@ -149,7 +164,7 @@ def _dealt(k: int, order):
                     n = cell["blocks"]
                     mine = wanted[i] % n
                     for x in range(n):
-                        out.append((cell["cell"], min(mine, x), max(mine, x), mine, ids[i], p, m, raw))
+                        out.append((cell["cell"], cell["band"], min(mine, x), max(mine, x), mine, ids[i], p, m, raw))
                         size += len(raw)
                 if size > 8_000_000:
                     yield _dealt_batch(out, b.column("__id").type)
@@ -160,9 +175,9 @@ def _dealt(k: int, order):
 
 
 def _dealt_batch(rows: list[tuple], ids: pa.DataType) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * 8
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), ids, pa.int32(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["cell", "x", "y", "block", "id", "p", "m", "members"])
+    columns = list(zip(*rows, strict=True)) or [()] * 9
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), ids, pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["cell", "band", "x", "y", "block", "id", "p", "m", "members"])
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
@@ -222,7 +237,7 @@ def linked(sets: list[np.ndarray], prefix: np.ndarray, matches: np.ndarray, bloc
 
 def _verified(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (cell, x, y); one cell (or pair of blocks) is held at a time."""
+        """Rows come sorted by (cell, band, x, y); one cell (or pair of blocks) is held at a time."""
         key, held, found = None, [], []
 
         def close() -> None:
@@ -235,10 +250,10 @@ def _verified(num: int, den: int):
         kind = pa.int64()
         for b in batches:
             kind = b.column("id").type
-            for cell, x, y, block, i, p, m, raw in zip(*(b.column(c).to_pylist() for c in ("cell", "x", "y", "block", "id", "p", "m", "members")), strict=True):
-                if (cell, x, y) != key:
+            for cell, band, x, y, block, i, p, m, raw in zip(*(b.column(c).to_pylist() for c in ("cell", "band", "x", "y", "block", "id", "p", "m", "members")), strict=True):
+                if (cell, band, x, y) != key:
                     close()
-                    key, held = (cell, x, y), []
+                    key, held = (cell, band, x, y), []
                 held.append((i, p, m, block, np.frombuffer(raw, np.uint64)))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], kind), pa.array([x[1] for x in found], kind)], names=["a", "b"])
@@ -266,24 +281,46 @@ def jaccard_groups(docs: DataFrame, words: int, num: int, den: int, id_col: str
     described = told.filter("what = 0").drop("what")
     total, occurrences = described.agg(F.count("*"), F.sum("n")).first()
     least = max(LEAST_FREQUENT, int((occurrences or 0) * FREQUENT))
-    often = told.filter("what = 1").groupBy("d1").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).collect()
-    tokens = np.array([r["d1"] for r in often], np.int64).view(np.uint64)
-    order = spark.sparkContext.broadcast(Order(tokens, np.array([r["n"] for r in often], np.int64), num, den))
+    often = told.filter("what = 1").groupBy("d1").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
+    tokens = often.column("d1").to_numpy().view(np.uint64)
+    order = spark.sparkContext.broadcast(Order(tokens, often.column("n").to_numpy(), num, den))
     classes = store.put(described.filter("n > 0 AND id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
 
-    postings = store.put(texts.mapInArrow(_postings(words, order), "token long, d1 long"))
-    cells = postings.groupBy("token").agg(F.min("d1").alias("cell"), F.max("d1").alias("last"), F.count("*").alias("met")).filter("cell != last")
-    cells = store.put(cells.select("token", "cell", "met"))
-    posted = cells.agg(F.sum("met")).first()[0] or 0
-    members = store.put(join_hot(postings, cells, ["token"], F.col("met"), posted).select("cell", "d1").distinct().join(classes.select("d1", "n", "rep"), "d1"))
+    by_token = Window.partitionBy("token")
+    postings = texts.mapInArrow(_postings(words, order), "token long, d1 long").repartition("token").dropDuplicates(["token", "d1"])
+    postings = postings.withColumns({"met": F.count("*").over(by_token), "pivot": F.min("d1").over(by_token)})
+    postings = store.put(postings.filter("met > 1"))
+    common = postings.filter(F.col("met") > SMALL)
+    info = classes.select("d1", "n", "rep").join(common.groupBy("d1").agg(F.count("*").alias("common")), "d1", "left").fillna(0, ["common"])
+    info = store.put(info)
+
+    def asked(size):
+        return F.greatest(*[F.when(size >= at, m).otherwise(1) for at, m in LEAST_MATCHES])
+
+    pairs = F.expr("flatten(transform(ds, (x, i) -> transform(slice(ds, i + 2, size(ds)), y -> struct(least(x, y) AS a, greatest(x, y) AS b))))")
+    counted = postings.filter(F.col("met") <= SMALL).groupBy("token").agg(F.collect_list("d1").alias("ds")).select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("both"))
+    side = lambda x: info.select(F.col("d1").alias(x), F.col("n").alias(f"n_{x}"), F.col("common").alias(f"c_{x}"))
+    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    candidates = counted.join(side("a"), "a").join(side("b"), "b").filter((large * num <= small * den) & (F.col("both") + F.least("c_a", "c_b") >= asked(small))).select("a", "b")
+    # A partner's set has at least needed(n) members and asks for the matches of that size at least.
+    enough = info.filter((F.col("common") > 0) & (F.col("common") >= asked(F.ceil(F.col("n") * num / den)))).select("d1")
+    ties = common.filter("d1 != pivot").join(enough, "d1", "left_semi").select(F.col("pivot").alias("a"), F.col("d1").alias("b")).distinct()
+    grouped = components(candidates.union(ties), store).select(F.col("node").alias("d1"), F.col("component").alias("cell"))
+    members = store.put(grouped.join(info.select("d1", "n", "rep"), "d1"))
     store.drop(postings)
-    weights = store.put(members.groupBy("cell").agg(F.sum("n").alias("w"), F.count("*").alias("m")))
-    blocks = F.greatest(F.ceil(F.col("w") / CELL_WEIGHT), F.ceil(F.col("m") / CELL_DOCS)).cast("int").alias("blocks")
-    in_cells = join_hot(members, weights, ["cell"], F.col("m"), max(1, total)).select("rep", "d1", F.struct("cell", blocks).alias("c"))
-    # A document's cells are at most its prefix members.
+    big = lambda w, m: (w > GROUP_WEIGHT) | (m > GROUP_DOCS)
+    weights = members.groupBy("cell").agg(F.sum("n").alias("w"), F.count("*").alias("m"))
+    large_cells = weights.filter(big(F.col("w"), F.col("m"))).select("cell", F.lit(True).alias("large"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
+    banded = members.join(large_cells, "cell", "left").withColumn("band", F.explode(F.when(F.col("large"), F.array(band, band + 1)).otherwise(F.array(F.lit(0)))))
+    banded = store.put(banded.select("cell", "band", "rep", "d1", "n"))
+    weights = store.put(banded.groupBy("cell", "band").agg(F.sum("n").alias("w"), F.count("*").alias("m")).filter("m > 1"))
+    blocks = F.greatest(F.ceil(F.col("w") / GROUP_WEIGHT), F.ceil(F.col("m") / GROUP_DOCS)).cast("int").alias("blocks")
+    in_cells = join_hot(banded, weights, ["cell", "band"], F.col("m"), max(1, total)).select("rep", "d1", F.struct("cell", "band", blocks).alias("c"))
+    # A document is in one group and, if that is large, in two bands of it.
     listed = in_cells.groupBy("rep", "d1").agg(F.collect_list("c").alias("cells"))
-    dealt = texts.join(listed, texts["__id"] == listed["rep"]).select("__id", "__text", "d1", "cells").mapInArrow(_dealt(words, order), f"cell long, x int, y int, block int, id {kind}, p int, m int, members binary")
-    dealt = dealt.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y")
+    dealt = texts.join(listed, texts["__id"] == listed["rep"]).select("__id", "__text", "d1", "cells").mapInArrow(_dealt(words, order), f"cell long, band int, x int, y int, block int, id {kind}, p int, m int, members binary")
+    dealt = dealt.repartition("cell", "band", "x", "y").sortWithinPartitions("cell", "band", "x", "y")
     links = store.put(dealt.mapInArrow(_verified(num, den), f"a {kind}, b {kind}"))
     groups = components(links, store)
     named = classes.join(groups, classes["rep"] == groups["node"], "left").select("d1", "d2", "n", "copies", F.coalesce("component", "rep").alias("component"))
