@@ -59,8 +59,8 @@ def resolve_revisits(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     good = F.col("canonical_url").isNotNull() & F.col("at").isNotNull()
     cuts = r.filter(good).agg(F.percentile_approx(F.col("at").cast("double"), [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
     cuts = sorted(set(cuts))
-    number = F.coalesce(F.array_position(F.transform(F.array(*map(F.lit, cuts)), lambda c: F.col("at").cast("double") <= c), True), F.lit(len(cuts) + 1)) if cuts else F.lit(1)
-    r = r.withColumn("bucket", number)
+    # A time's bucket is the number of cuts before it.
+    r = r.withColumn("bucket", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("at").cast("double"))) if cuts else F.lit(0))
     response = F.col("warc_type") == "response"
     # Only ids and times are carried; headers and body come in at the end, by id.
     slim = r.filter(good & F.col("warc_type").isin("response", "revisit"))
