@@ -28,6 +28,8 @@ ATTENTION = 16
 TRAIN_DOCS = 4000
 TRAIN_PASSAGES = 256
 EPOCHS = 12
+#: Updates at least, so that a small sample is passed more often.
+LEAST_UPDATES = 600
 #: Score from which a document is predicted to be good.
 THRESHOLD = 0.3
 #: Texts are encoded in slices of about this many bytes, so that memory doesn't follow the batch.
@@ -113,7 +115,7 @@ def _gradients(m: dict, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict
 
 
 def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> dict:
-    """Adam on the mean log loss over mini-batches of documents, with weight decay."""
+    """Adam on the mean log loss over mini-batches of 64 documents, with weight decay."""
     rng = np.random.default_rng(7)
     scale = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
     m = {"w": scale(FEATURES, HIDDEN) * 2, "b": np.zeros(HIDDEN, np.float32), "v": scale(HIDDEN, ATTENTION), "u": scale(HIDDEN, ATTENTION), "a": scale(ATTENTION), "c": scale(HIDDEN), "d": np.float32(0)}
@@ -121,7 +123,8 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -
         return m
     m["d"] = np.float32(np.log((y.mean() + 0.01) / (1.01 - y.mean())))
     one, two, step = {k: 0.0 for k in m}, {k: 0.0 for k in m}, 0
-    for _ in range(epochs):
+    batches = -(-len(y) // 64)
+    for _ in range(max(epochs, -(-LEAST_UPDATES // batches))):
         order = rng.permutation(len(y))
         for lo in range(0, len(order), 64):
             part = order[lo : lo + 64]
