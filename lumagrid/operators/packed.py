@@ -33,9 +33,13 @@ def unpack(frames: DataFrame, names=("r", "g", "b")) -> DataFrame:
     return frames.select("frame_id", "width", "data").mapInArrow(run, "frame_id long, y int, x int, " + ", ".join(f"{n} int" for n in names))
 
 
-def _gray(rgb: np.ndarray) -> np.ndarray:
-    """uint8 (..., 3) -> uint8."""
-    return ((rgb[..., 0].astype(np.uint16) * LUMA[0] + rgb[..., 1].astype(np.uint16) * LUMA[1] + rgb[..., 2].astype(np.uint16) * LUMA[2]) >> 8).astype(np.uint8)
+def _gray_planes(planes: np.ndarray) -> np.ndarray:
+    """uint8 (3, ...) -> uint8; the weighted sum is at most 65280, so 16 bits do."""
+    total = planes[0] * np.uint16(LUMA[0])
+    total += planes[1] * np.uint16(LUMA[1])
+    total += planes[2] * np.uint16(LUMA[2])
+    total >>= 8
+    return total.astype(np.uint8)
 
 
 def packed_gray(frames: DataFrame) -> DataFrame:
@@ -43,32 +47,43 @@ def packed_gray(frames: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data = [_gray(np.frombuffer(d.as_buffer(), np.uint8).reshape(-1, 3)).tobytes() for d in b.column("data")]
+            data = [_gray_planes(np.frombuffer(d.as_buffer(), np.uint8).reshape(-1, 3).T).tobytes() for d in b.column("data")]
             yield pa.RecordBatch.from_arrays([b.column("frame_id"), b.column("width"), b.column("height"), pa.array(data, pa.binary())], names=["frame_id", "width", "height", "data"])
 
     return frames.select("frame_id", "width", "height", "data").mapInArrow(run, "frame_id long, width int, height int, data binary")
 
 
 def _axis_sums(a: np.ndarray, bounds: list[tuple[int, int]], axis: int) -> np.ndarray:
-    """Sums over half-open bounds of an axis by differences of running sums (empty bounds give 0)."""
-    shape = list(a.shape)
-    shape[axis] = 1
-    running = np.concatenate([np.zeros(shape, np.int64), np.cumsum(a, axis=axis, dtype=np.int64)], axis=axis)
+    """Sums over half-open bounds of one of the last two axes; empty bounds give 0. Bounds have no gaps."""
     lo, hi = np.array(bounds).T
-    return np.take(running, hi, axis=axis) - np.take(running, lo, axis=axis)
+    inside = a[:, : hi[-1]] if axis == 1 else a[:, :, : hi[-1]]
+    k = hi[0] - lo[0]
+    if k and (hi - lo == k).all():  # equal cells: a plain sum over a split axis, which numpy vectorises
+        kind = np.uint16 if a.dtype == np.uint8 and k <= 257 else np.int32
+        split = inside.shape[:axis] + (len(bounds), k) + inside.shape[axis + 1 :]
+        return inside.reshape(split).sum(axis=axis + 1, dtype=kind)
+    full = np.flatnonzero(hi > lo)
+    sums = np.add.reduceat(inside, lo[full], axis=axis, dtype=np.int32)
+    if len(full) == len(bounds):
+        return sums
+    out = np.zeros(a.shape[:axis] + (len(bounds),) + a.shape[axis + 1 :], np.int32)
+    if axis == 1:
+        out[:, full] = sums
+    else:
+        out[:, :, full] = sums
+    return out
 
 
 def cell_arrays(rgb: np.ndarray, columns: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(h, w, 3) -> gray (rows, columns) and color (rows, columns, 3), with the defaults of empty cells."""
     h, w, _ = rgb.shape
     xs, ys = axis_bounds(w, columns), axis_bounds(h, rows)
-    four = np.concatenate([rgb, _gray(rgb)[..., None]], axis=2)
-    s = _axis_sums(_axis_sums(four, ys, 0), xs, 1)
+    planes = np.ascontiguousarray(np.moveaxis(rgb, 2, 0))
+    s = np.concatenate([_axis_sums(_axis_sums(p, ys, 1), xs, 2).astype(np.int32) for p in (planes, _gray_planes(planes)[None])])
     n = np.outer([b - a for a, b in ys], [b - a for a, b in xs])
-    mean = s // np.maximum(n, 1)[..., None]
-    empty = n == 0
-    mean[empty] = (255, 255, 255, 0)
-    return mean[..., 3], mean[..., :3]
+    mean = s // np.maximum(n, 1)
+    mean[:3, n == 0] = 255
+    return mean[3], np.moveaxis(mean[:3], 0, 2)
 
 
 def packed_cells(frames: DataFrame, columns: int, rows: int) -> DataFrame:
@@ -90,7 +105,7 @@ def packed_render(frames: DataFrame, atlas: DataFrame, columns: int, rows: int,
 
     The atlas (256 * cw * ch numbers) goes along with the task.
     """
-    masks = np.zeros((256, ch, cw), np.uint8)
+    masks = np.zeros((256, ch, cw), np.uint16)
     for r in atlas.filter("alpha > 0").collect():  # at most 94 * cw * ch rows
         masks[r["code"], r["cy"], r["cx"]] = r["alpha"]
     chars = pick_charset(charset)
@@ -104,16 +119,21 @@ def packed_render(frames: DataFrame, atlas: DataFrame, columns: int, rows: int,
             out = []
             for w, h, d in zip(b.column("width").to_pylist(), b.column("height").to_pylist(), b.column("data"), strict=True):
                 gray, rgb = cell_arrays(np.frombuffer(d.as_buffer(), np.uint8).reshape(h, w, 3), columns, rows)
-                alpha = masks[codes[gray]].transpose(0, 2, 1, 3).reshape(rows * ch, columns * cw)[:h, :w].astype(np.uint16)
+                alpha = masks[codes[gray]].transpose(0, 2, 1, 3).reshape(rows, ch, columns * cw)
                 image = np.zeros((h, w, 3), np.uint8)
-                high, wide = alpha.shape
+                high, wide = min(h, rows * ch), min(w, columns * cw)
                 if color:
                     under, over = (rgb * 3 // 20).astype(np.uint16), np.minimum(255, rgb * 5 // 4).astype(np.uint16)
                     for k in range(3):
-                        s, g = (np.repeat(np.repeat(v[..., k], ch, 0), cw, 1)[:h, :w] for v in (over, under))
-                        image[:high, :wide, k] = (s * alpha + g * (255 - alpha)) // 255
+                        # stroke * a + under * (255 - a), divided by 255 exactly for what fits 16 bits.
+                        value = alpha * np.repeat(over[..., k] - under[..., k], cw, 1)[:, None, :]
+                        value += np.repeat(under[..., k] * np.uint16(255), cw, 1)[:, None, :]
+                        value += value >> 8
+                        value += 1
+                        value >>= 8
+                        image[:high, :wide, k] = value.reshape(rows * ch, columns * cw)[:high, :wide]
                 else:
-                    image[:high, :wide] = alpha[..., None]
+                    image[:high, :wide] = alpha.reshape(rows * ch, columns * cw)[:high, :wide, None]
                 out.append(image.tobytes())
             yield pa.RecordBatch.from_arrays([b.column("frame_id"), b.column("width"), b.column("height"), pa.array(out, pa.binary())], names=["frame_id", "width", "height", "data"])
 
