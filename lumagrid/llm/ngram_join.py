@@ -44,9 +44,9 @@ LEAST_FREQUENT = 8
 #: Shingles that a task counts at once; single ones among them are not sent.
 COUNT_AT_ONCE = 2_000_000
 #: The numbers of prefix matches a document can ask for.
-MATCHES = (1, 2, 4, 8, 16, 20, 50, 120, 240)
-#: (From this size on, at least so many matches); both rise.
-LEAST_MATCHES = ((0, 1), (60, 2), (150, 4), (400, 8), (1000, 20), (2500, 50), (6000, 120))
+MATCHES = (1, 2, 4, 8, 16, 32, 64, 128, 256, 512)
+#: (From this size on, at least so many matches); both rise: from a twentieth of the size down to half of that.
+LEAST_MATCHES = ((0, 1), (40, 2), (80, 4), (160, 8), (320, 16), (640, 32), (1280, 64), (2560, 128), (5120, 256))
 GROUP_WEIGHT = 1_000_000
 GROUP_DOCS = 2000
 
