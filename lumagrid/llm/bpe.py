@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import WHITE, ChunkEncoder, gather
+from .worker import cache, claim
 
 LONG = 512
 #: Rows of a matrix at most.
@@ -236,7 +237,7 @@ class Bpe:
         return gather(blob, start[ids], length[ids]).tobytes()[:-1]
 
 
-_made: dict[tuple[int, str], Bpe] = {}
+_made: dict[tuple[int, str], Bpe] = cache()
 
 
 def _bpe(ranks: dict[bytes, int], pattern: str) -> Bpe:
@@ -256,6 +257,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, pattern: str, keep_ids: bool
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe")
         bpe = _bpe(ranks.value, pattern)
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
@@ -280,6 +282,7 @@ def decode_ids(rows: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     ranks = rows.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe")
         bpe = _bpe(ranks.value, pattern)
         for b in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "decoded": pa.array([bpe.decode(np.array(x or [], np.int64)) for x in b.column("ids").to_pylist()], pa.binary())})

@@ -3,8 +3,9 @@
 The pre-tokenising pattern of the byte-level vocabularies always starts a new match at a space that
 follows a non-space, and at the last space of a run before a non-space. Cutting at each space is
 therefore safe unless a space stands inside a run of white space or at its end before the text's end;
-such texts are cut by the pattern itself. Equal chunks have equal ids, so each task encodes every
-distinct chunk once; the table of known chunks is bounded and starts anew when full.
+such texts are cut by the pattern itself. Equal chunks have equal ids, so distinct chunks are encoded once
+and known in two generations of tables of bounded size: a full one becomes the old one, from which
+what is met again moves on; the rest is forgotten.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ import regex
 WHITE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 #: What makes a text unsafe to cut at spaces, with the two commonest cases first.
 _RARE_WHITE = regex.compile("[\\x0B\\x0C\\x1C-\\x1F\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]")
-#: Known chunks at most; beyond, the table starts anew.
-CHUNKS = 1_200_000
+#: Known chunks of a generation at most (some 200 bytes each).
+CHUNKS = 450_000
 #: Words that are turned into ids at once.
 BLOCK = 200_000
 #: Characters of texts that are cut together.
-SLICE = 8_000_000
+SLICE = 4_000_000
 
 
 def gather(blob: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -46,49 +47,81 @@ def _risky(text: str) -> bool:
 
 
 class _Codes(dict):
-    """Chunk -> code; an unknown chunk gets the next code and is put down for encoding."""
+    """Chunk -> code; an unknown chunk gets the next code and is put down for encoding or moving."""
 
-    def __init__(self, owner: ChunkEncoder, before: str):
+    def __init__(self, owner: ChunkEncoder, before: str, old: dict[str, int]):
         super().__init__()
-        self.owner, self.before = owner, before
+        self.owner, self.before, self.old = owner, before, old
 
     def __missing__(self, word: str) -> int:
-        code = self[word] = self.owner.n
-        self.owner.n += 1
-        self.owner.new.append(self.before + word)
+        owner = self.owner
+        code = self[word] = owner.n
+        owner.n += 1
+        known = self.old.get(word)
+        if known is None:
+            owner.new.append(self.before + word)
+            owner.new_codes.append(code)
+        else:
+            owner.moved.append(known)
+            owner.moved_codes.append(code)
         return code
 
 
-class ChunkEncoder:
-    """encode_many: list of strings -> all their ids joined, and each one's number of ids;
-    find: text -> matches of the pattern."""
-
-    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], find: Callable[[str], list[str]]):
-        self.encode_many, self.find = encode_many, find
-        self._clear()
+class _Table:
+    """Ids of coded chunks: ids[start[code] : start[code] + length[code]]."""
 
-    def _clear(self) -> None:
-        self.spaced, self.plain = _Codes(self, " "), _Codes(self, "")
-        self.new: list[str] = []
-        self.size, self.n = 0, 0
+    def __init__(self):
+        self.size = 0
         self.ids = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
 
-    def _learn(self) -> None:
-        if not self.new:
-            return
-        ids, lengths = self.encode_many(self.new)
+    def put(self, codes: list[int], ids: np.ndarray, lengths: np.ndarray) -> None:
         while self.size + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.n > len(self.start):
+        while codes[-1] >= len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        lo = self.n - len(self.new)
         self.ids[self.size : self.size + len(ids)] = ids
-        self.start[lo : self.n] = self.size + np.cumsum(lengths) - lengths
-        self.length[lo : self.n] = lengths
+        at = np.array(codes)
+        self.start[at] = self.size + np.cumsum(lengths) - lengths
+        self.length[at] = lengths
         self.size += len(ids)
-        self.new = []
+
+    def get(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lengths = self.length[codes]
+        return gather(self.ids, self.start[codes], lengths), lengths
+
+
+class ChunkEncoder:
+    """encode_many: list of strings -> all their ids joined, and each one's number of ids;
+    find: text -> matches of the pattern."""
+
+    def __init__(self, encode_many: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], find: Callable[[str], list[str]]):
+        self.encode_many, self.find = encode_many, find
+        self.clear()
+
+    def clear(self) -> None:
+        self.table = _Table()
+        self.spaced, self.plain = {}, {}
+        self._turn()
+
+    def _turn(self) -> None:
+        """What is known becomes the old generation."""
+        self.old, self.table = self.table, _Table()
+        old = self.spaced, self.plain
+        for x in old:
+            if isinstance(x, _Codes):
+                x.old = {}
+        self.spaced, self.plain = _Codes(self, " ", old[0]), _Codes(self, "", old[1])
+        self.new, self.new_codes, self.moved, self.moved_codes = [], [], [], []
+        self.n = 0
+
+    def _learn(self) -> None:
+        if self.moved:
+            self.table.put(self.moved_codes, *self.old.get(np.array(self.moved)))
+        if self.new:
+            self.table.put(self.new_codes, *self.encode_many(self.new))
+        self.new, self.new_codes, self.moved, self.moved_codes = [], [], [], []
 
     def _codes(self, names: _Codes, words: list[str]) -> np.ndarray:
         return np.fromiter(map(names.__getitem__, words), np.int64, len(words))
@@ -102,7 +135,7 @@ class ChunkEncoder:
         at = 0
         while at < len(words):
             if self.n > CHUNKS:
-                self._clear()
+                self._turn()
             block = words[at : at + BLOCK]
             if risky:
                 codes = self._codes(self.plain, block)
@@ -112,7 +145,7 @@ class ChunkEncoder:
                     codes = np.concatenate([self._codes(self.plain, block[:1]), codes])
             at += BLOCK
             self._learn()
-            yield gather(self.ids, self.start[codes], self.length[codes])
+            yield self.table.get(codes)[0]
 
     def encode(self, text: str) -> np.ndarray:
         parts = list(self.blocks(text))
@@ -141,15 +174,14 @@ class ChunkEncoder:
     def _group(self, texts: list[str], group: list[int], out: list[np.ndarray]) -> None:
         """Arrow cuts at spaces and numbers the distinct words; only those are looked up one by one."""
         if self.n > CHUNKS:
-            self._clear()
+            self._turn()
         split = pc.split_pattern(pa.array([texts[i] for i in group], pa.large_string()), " ")
         words = split.values.dictionary_encode()
         first = split.offsets.to_numpy()
         codes = self._codes(self.spaced, words.dictionary.to_pylist())[words.indices.to_numpy()]
         codes[first[:-1]] = self._codes(self.plain, split.values.take(pa.array(first[:-1])).to_pylist())
         self._learn()
-        lengths = self.length[codes]
-        ids = gather(self.ids, self.start[codes], lengths)
+        ids, lengths = self.table.get(codes)
         ends = np.cumsum(np.add.reduceat(lengths, first[:-1])).tolist()
         lo = 0
         for i, hi in zip(group, ends, strict=True):

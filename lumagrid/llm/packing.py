@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .chunks import ChunkEncoder
+from .chunks import ChunkEncoder, gather
+from .worker import cache, claim
 
 WINDOW = 1024
 #: Open windows at most in a task; 4 bytes a token, so at most some 16 MB.
@@ -114,7 +116,7 @@ class Levels:
         return out
 
 
-_made: dict[str, ChunkEncoder] = {}
+_made: dict[str, ChunkEncoder] = cache()
 
 
 def _encoder(definition: str) -> ChunkEncoder:
@@ -127,20 +129,25 @@ def _encoder(definition: str) -> ChunkEncoder:
 
         def many(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
             """Chunks without a line feed are joined by one, which is a match and an id of its own there."""
-            ids: list = [()] * len(chunks)
-            joined = [i for i, c in enumerate(chunks) if c[:1] == " " and len(c) > 1 and "\n" not in c]
-            for lo in range(0, len(joined), 50_000):
-                part = joined[lo : lo + 50_000]
-                got = np.array(t.encode_batch_fast(["\n".join(chunks[i] for i in part)], add_special_tokens=False)[0].ids, np.uint32)
-                for i, x in zip(part, np.split(got, np.flatnonzero(got == feed)), strict=True):
-                    ids[i] = x if x[:1] != feed else x[1:]
-            rest = sorted(set(range(len(chunks))).difference(joined))
-            for lo in range(0, len(rest), 20_000):
-                part = rest[lo : lo + 20_000]
-                for i, e in zip(part, t.encode_batch_fast([chunks[i] for i in part], add_special_tokens=False), strict=True):
-                    ids[i] = e.ids
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            return np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.uint32), counts
+            joined = np.array([c[:1] == " " and len(c) > 1 and "\n" not in c for c in chunks], bool)
+            start, length = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+            found, size = [np.zeros(0, np.uint32)], 0
+            for own, together in ((np.flatnonzero(joined), True), (np.flatnonzero(~joined), False)):
+                for lo in range(0, len(own), 50_000):
+                    part = own[lo : lo + 50_000]
+                    if together:
+                        got = np.array(t.encode_batch_fast(["\n".join([chunks[i] for i in part.tolist()])], add_special_tokens=False)[0].ids, np.uint32)
+                        between = np.flatnonzero(got == feed)
+                        n = np.diff(np.concatenate([[-1], between, [len(got)]])) - 1
+                        got = np.delete(got, between)
+                    else:
+                        ids = [e.ids for e in t.encode_batch_fast([chunks[i] for i in part.tolist()], add_special_tokens=False)]
+                        n = np.fromiter(map(len, ids), np.int64, len(ids))
+                        got = np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))
+                    start[part], length[part] = size + np.cumsum(n) - n, n
+                    found.append(got)
+                    size += len(got)
+            return gather(np.concatenate(found), start, length), length
 
         feed = t.encode("\n", add_special_tokens=False).ids
         if len(feed) != 1:
@@ -165,6 +172,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        claim("packing")
         encoder = _encoder(definition.value)
         context = TaskContext.get()
         levels = Levels(window, (context.partitionId() if context else 0) << 32)

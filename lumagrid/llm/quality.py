@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, learned_from
+from .worker import claim
 
 PASSAGE = 512
 BUCKETS = 512
@@ -154,6 +155,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     rows = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).join(F.broadcast(sample), "__id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for b in batches:
             ids, ys = b.column("__id").to_pylist(), b.column("__y").to_pylist()
             texts = [(t or "").encode() for t in b.column("__text").to_pylist()]
@@ -193,6 +195,7 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> D
     model = spark.sparkContext.broadcast(train(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for b in batches:
             p = score(model.value, [(t or "").encode() for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(p.astype(np.float64))], names=["doc_id", "held_out", "score"])
@@ -209,6 +212,7 @@ def drop_rejected(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Da
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for b in batches:
             p = score(model.value, [(t or "").encode() for t in b.column("text").to_pylist()])
             yield b.filter(pa.array(p >= THRESHOLD))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import Staging
 from .joins import join_hot
+from .worker import claim
 
 #: A run of repeated units is removed from this many words of one source on.
 MIN_WORDS = 20
@@ -83,6 +84,7 @@ def repeated_places(text: str, own: object, elsewhere: dict[int, object]) -> dic
 
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("substring")
     for whole in batches:
         for lo in range(0, whole.num_rows, 1000):
             b = whole.slice(lo, 1000)
@@ -155,6 +157,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     names = docs.columns
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substring")
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 b = whole.slice(lo, 1000)
