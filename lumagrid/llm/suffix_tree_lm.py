@@ -1,20 +1,22 @@
 """Language model: a probabilistic suffix tree over words.
 
 A text is a sequence of tokens (words, lower-cased A-Z, then one end). A state is the last 0, 1 or 2 tokens.
-A context is considered if it makes up at least CONTEXT_SHARE of all tokens, and kept if its next tokens
-diverge from those of its suffix: the log likelihood (in nats) that the state adds over its own
-occurrences has to reach DIVERGENCE for each next token that it stores. A token is scored in the longest
-kept suffix of what is before it:
+A context is kept if its next tokens diverge from those of its suffix: the log likelihood (in nats) that the
+state adds over its own occurrences has to reach DIVERGENCE for each next token that it stores. A token is
+scored in the longest kept suffix of what is before it:
 
     P(x | s) = (c(s, x) + b(s) * P(x | suffix of s)) / (c(s) + m(s)),   b(s) = c(s) - sum of stored c(s, .) + m(s)
 
-c(s, x) is stored from a share of PAIR_SHARE on, m(s) is the number of stored tokens; what isn't stored goes to
-the suffix, so probabilities add up to 1. The root is (c(x) + 1) / (N + V + 1), where all words that training
-doesn't have are one more token.
+c(s, x) is stored from LEAST occurrences on, whatever the size of the corpus; m(s) is the number of stored tokens; what
+isn't stored goes to the suffix, so probabilities add up to 1. The root is (c(x) + 1) / (N + V + 1), where all
+words that training doesn't have are one more token.
 
-Bounds: at most 1 / WORD_SHARE numbered tokens and 1 / PAIR_SHARE stored pairs and triples, however large the
-corpus is: they are sent along. All counts come from all training documents. The root needs the count
-of every word: each document lists its words that have no number, which meet the counts in one exchange.
+The tree grows with the corpus, so it is a staged table and never sent along. The logarithm of P is a sum:
+the root's, log b(s) / (c(s) + m(s)) for each kept context s before the token, and one more term where s stores
+the token. Documents list their (context, token) pairs, which meet both kinds of terms in exchanges. Words and
+contexts are 64-bit hashes there. All counts come from all training documents. The root needs the count of every
+word: frequent words (at most 1 / WORD_SHARE) are sent along, each document lists the others, which meet the
+counts in one exchange.
 """
 
 from __future__ import annotations
@@ -25,15 +27,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Staging, crc_mod, learned_from
 from .shingles import slices
 
+#: Words whose counts are sent along; the others' counts are met by an exchange.
 WORD_SHARE = 5e-7
-CONTEXT_SHARE = 1e-4
-PAIR_SHARE = 5e-7
+#: Occurrences of a context with a next token from which the count is stored.
+LEAST = 2
 DIVERGENCE = 2.0
 #: Distinct words that a task holds before it passes its counts on.
 HELD = 300_000
@@ -56,7 +60,8 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs = 0
 
     def passed() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, held), np.uint64, len(held)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(h), pa.array(list(held.values()), pa.int64())], names=["word", "h", "n"])
 
     for b in batches:
         docs += b.num_rows
@@ -74,7 +79,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Pairs:
-    """Stored counts c(s, x) under context number * width + token number, with c(s), b(s) and m(s)."""
+    """States in one process, as the tree's table has them: stored counts c(s, x) under context number * width + token number, with c(s), b(s) and m(s)."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, width: int, totals: np.ndarray):
         """totals: c(s) of every context number."""
@@ -112,7 +117,7 @@ class Pairs:
 
 
 class SuffixTree:
-    """The whole model; small enough to send along (see the bounds above)."""
+    """The root, and for a tree in one process the states of one and two tokens."""
 
     def __init__(self, words: list[str], counts: np.ndarray, total: int, distinct: int):
         self.number = {w: i for i, w in enumerate(words)}
@@ -164,68 +169,123 @@ class SuffixTree:
         return p
 
 
-def _count_keys(model, order: int):
-    """(key, n): context * width + token, for contexts of one known token or of one of the listed pairs."""
+def hashed(words: pa.Array, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all tokens with each text's end, the place of each text's first token)."""
+    names = words.to_pylist()
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+    starts = first + np.arange(len(first))
+    out = np.full(int(starts[-1]), xxhash.xxh3_64_intdigest(END), np.uint64)
+    inner = np.ones(len(out), bool)
+    inner[starts[1:] - 1] = False
+    out[inner] = h[codes]
+    return out, starts
+
+
+def _in_context(x: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(tokens of the context, places of the tokens that have one, contexts) for one and two tokens before."""
+    place = np.arange(len(x)) - np.repeat(starts[:-1], np.diff(starts))
+    at = np.flatnonzero(place >= 1)
+    yield 1, at, x[at - 1]
+    at = np.flatnonzero(place >= 2)
+    a = x[at - 2]
+    yield 2, at, (a << np.uint64(17) | a >> np.uint64(47)) ^ x[at - 1]
+
+
+def _longer(first: Column, second: Column) -> Column:
+    """The context of two tokens, as _in_context has it."""
+    return F.shiftleft(first, 17).bitwiseOR(F.shiftrightunsigned(first, 47)).bitwiseXOR(second)
+
+
+def _distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows and how often each occurs."""
+    by = np.lexsort(columns[::-1])
+    columns = [c[by] for c in columns]
+    new = np.ones(len(by), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    at = np.flatnonzero(new)
+    return [c[at] for c in columns], np.diff(np.append(at, len(by)))
+
+
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(o, c, x, n): how often x follows the context c of o tokens."""
+    held: dict[int, list] = {1: [], 2: []}
+    size = 0
+
+    def passed() -> Iterator[pa.RecordBatch]:
+        for o, parts in held.items():
+            (c, x), n = _distinct(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+            parts.clear()
+            for lo in range(0, len(n), 500_000):
+                hi = lo + 500_000
+                k = len(n[lo:hi])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, o, np.int8)), pa.array(c[lo:hi].view(np.int64)), pa.array(x[lo:hi].view(np.int64)), pa.array(n[lo:hi].astype(np.int64))], names=["o", "c", "x", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        wanted = m.frequent if order == 1 else None
-        held, size = [], 0
-
-        def passed() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
-
-        for b in batches:
-            for _, part in slices(b.column("__text").to_pylist()):
-                x, starts, _ = m.sequence(*tokens(part))
-                before, pair = m.contexts(x, starts)
-                context = np.where(wanted[before], before, -1) if order == 1 else m.pair_number(pair)
-                keep = (context >= 0) & (x >= 0)
-                held.append(context[keep] * m.width + x[keep])
-                size += len(held[-1])
-                if size > 4_000_000:
-                    yield passed()
-                    held, size = [], 0
-        if size:
-            yield passed()
-
-    return run
-
-
-def _summed(docs: DataFrame, run, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Summed counts of at least ``least``: at most the number of tokens over least."""
-    got = docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
-    return got.column("key").to_numpy(), got.column("n").to_numpy()
+    for b in batches:
+        for _, part in slices(b.column("__text").to_pylist()):
+            x, starts = hashed(*tokens(part))
+            for o, at, c in _in_context(x, starts):
+                held[o].append((c, x[at]))
+            size += len(x)
+            if size > 3_000_000:
+                yield from passed()
+                size = 0
+    if size:
+        yield from passed()
+
+
+def _states(pairs: DataFrame, totals: DataFrame, store: Staging) -> tuple[DataFrame, DataFrame]:
+    """(kept contexts: c, back, whole, lb; their pairs: c, x, p, d); pairs: c, x, n, q = P(x | suffix); totals: c, total."""
+    contexts = pairs.groupBy("c").agg(F.count("*").alias("kinds"), F.sum("n").alias("stored")).join(totals, "c")
+    rest = F.greatest(F.col("total") - F.col("stored"), F.lit(0))
+    contexts = store.put(contexts.select("c", "kinds", rest.alias("rest"), (rest + F.col("kinds")).cast("double").alias("back"), (F.col("total") + F.col("kinds")).cast("double").alias("whole")))
+    own = pairs.join(contexts, "c").withColumn("p", (F.col("n") + F.col("back") * F.col("q")) / F.col("whole"))
+    own = store.put(own.select("c", "x", "n", "q", "p"))
+    gain = own.groupBy("c").agg(F.sum(F.col("n") * F.log(F.col("p") / F.col("q"))).alias("gain"))
+    kept = contexts.join(gain, "c").filter(F.col("gain") + F.col("rest") * F.log(F.col("back") / F.col("whole")) >= DIVERGENCE * F.col("kinds"))
+    kept = store.put(kept.select("c", "back", "whole", F.log10(F.col("back") / F.col("whole")).alias("lb")))
+    return kept, store.put(own.join(kept, "c").select("c", "x", "p", (F.log10(F.col("p") / F.col("q")) - F.col("lb")).alias("d")))
+
+
+def grow(docs: DataFrame, vocabulary: DataFrame, whole: int, store: Staging) -> tuple[DataFrame, DataFrame]:
+    """(kept contexts: c, lb; their pairs: c, x, d); docs: (__text) of the training documents."""
+    counts = docs.mapInArrow(_pair_counts, "o byte, c long, x long, n long").groupBy("o", "c", "x").agg(F.sum("n").alias("n"))
+    counts = store.put(counts.filter(F.col("n") >= LEAST))
+    words = vocabulary.groupBy(F.col("h").alias("x")).agg(F.sum("n").alias("total"))
+    root = words.select("x", ((F.col("total") + 1) / F.lit(float(whole))).alias("root"))
+    one = counts.filter("o = 1").drop("o")
+    kept1, pairs1 = _states(one.join(root, "x").withColumnRenamed("root", "q"), words.withColumnRenamed("x", "c"), store)
+    # A context of two tokens occurs as often as the second follows the first: at least as often as any pair of it.
+    pair = one.select(_longer(F.col("c"), F.col("x")).alias("c"), F.col("x").alias("s"), F.col("n").alias("total"))
+    two = counts.filter("o = 2").drop("o").join(pair.select("c", "s"), "c").join(root, "x")
+    two = two.join(kept1.select(F.col("c").alias("s"), (F.col("back") / F.col("whole")).alias("b")), "s", "left")
+    two = two.join(pairs1.select(F.col("c").alias("s"), "x", "p"), ["s", "x"], "left")
+    two = store.put(two.select("c", "x", "n", F.coalesce("p", F.coalesce("b", F.lit(1.0)) * F.col("root")).alias("q")))
+    kept2, pairs2 = _states(two, pair.select("c", "total"), store)
+    return kept1.union(kept2).select("c", "lb"), pairs1.union(pairs2).select("c", "x", "d")
 
 
 def train(docs: DataFrame, store: Staging) -> tuple[SuffixTree, DataFrame]:
-    """(model, staged counts of all words); docs: (__text) of the training documents."""
-    vocabulary = store.put(docs.mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"))
+    """(model with the root alone, staged counts of all words); docs: (__text) of the training documents."""
+    vocabulary = store.put(docs.mapInArrow(_word_counts, "word string, h long, n long").groupBy("word", "h").agg(F.sum("n").alias("n")).filter("n > 0"))
     total, distinct = vocabulary.agg(F.sum("n"), F.count("*")).first()
     total = total or 0
     least = max(2, int(total * WORD_SHARE))
     known = vocabulary.filter((F.col("n") >= least) | (F.col("word") == END)).toArrow()
     rows = sorted(zip(known.column("word").to_pylist(), known.column("n").to_pylist(), strict=True), key=lambda r: (-r[1], r[0]))
     rows = rows if any(w == END for w, _ in rows) else [*rows, (END, 0)]
-    model = SuffixTree([w for w, _ in rows], np.array([n for _, n in rows], np.int64), total, distinct)
-    often = max(2, total * CONTEXT_SHARE)
-    model.frequent = np.append(model.counts >= often, False)  # the last: no token before
-    context = docs.sparkSession.sparkContext
-    least = max(2, int(total * PAIR_SHARE))
-    keys, n = _summed(docs, _count_keys(context.broadcast(model), 1), least)
-    one = Pairs(keys, n, model.width, model.counts)
-    model.one = one.diverging(model.root(one.keys % model.width))
-    by = np.flatnonzero(n >= often)
-    by = by[np.argsort(keys[by])]
-    model.seconds = keys[by]
-    if len(by):
-        triples, m = _summed(docs, _count_keys(context.broadcast(model), 2), least)
-        two = Pairs(triples, m, model.width, n[by])
-        x = two.keys % model.width
-        own, back = model.one.find(model.seconds[two.keys // model.width] % model.width, x)
-        model.two = two.diverging(own + back * model.root(x))
-    return model, vocabulary
+    return SuffixTree([w for w, _ in rows], np.array([n for _, n in rows], np.int64), total, distinct), vocabulary
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(__key, c, x): each token of a document with each of its contexts."""
+    for b in batches:
+        for lo, part in slices(b.column("__text").to_pylist()):
+            x, starts = hashed(*tokens(part))
+            key = np.repeat(b.column("__key").slice(lo, len(part)).to_numpy(), np.diff(starts))
+            for _, at, c in _in_context(x, starts):
+                for k in range(0, len(at), 200_000):
+                    few = at[k : k + 200_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[few]), pa.array(c[k : k + 200_000].view(np.int64)), pa.array(x[few].view(np.int64))], names=["__key", "c", "x"])
 
 
 def _scored(model):
@@ -247,8 +307,8 @@ def _scored(model):
                 values = pa.StructArray.from_arrays([pa.array([names[i] for i in (word % max(1, len(names))).tolist()], pa.string()), pa.array(n.astype(np.int64))], names=["w", "n"])
                 s = b.slice(lo, len(part))
                 yield pa.RecordBatch.from_arrays(
-                    [s.column("__row"), s.column("doc_id"), s.column("held_out"), pa.array(np.diff(starts)), pa.array(known), pa.array(np.add.reduceat(counted, at)), pa.array(p), pa.ListArray.from_arrays(pa.array(offsets), values)],
-                    names=["__row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare"],
+                    [s.column("__row"), s.column("__key"), s.column("doc_id"), s.column("held_out"), pa.array(np.diff(starts)), pa.array(known), pa.array(np.add.reduceat(counted, at)), pa.array(p), pa.ListArray.from_arrays(pa.array(offsets), values)],
+                    names=["__row", "__key", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare"],
                 )
 
     return run
@@ -263,11 +323,12 @@ def score_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     store = Staging(spark, "suffixtree")
     text = F.coalesce(F.col("text"), F.lit("")).alias("__text")
-    model, vocabulary = train(docs.filter(learned_from(F.col("doc_id"), 7, 2)).select(text), store)
+    learned = docs.filter(learned_from(F.col("doc_id"), 7, 2)).select(text)
+    model, vocabulary = train(learned, store)
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     sent = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False)).alias("held_out"), text)
-    fields = f"__row long, doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<w: string, n: long>>"
+    rows = docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False)).alias("held_out"), F.xxhash64(text).alias("__key"), text)
+    fields = f"__row long, __key long, doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<w: string, n: long>>"
     scored = store.put(rows.mapInArrow(_scored(sent), fields))
     rare = scored.select("__row", F.explode("rare").alias("r")).select("__row", F.col("r.w").alias("word"), F.col("r.n").alias("times"))
     least = max(2, int(total * WORD_SHARE))
@@ -275,7 +336,12 @@ def score_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
     unit = float(np.log10(total + distinct + 1))
     if total == 0:  # the end isn't known either
         scored = scored.withColumn("known", F.lit(0).cast("long"))
-    out = scored.drop("rare").join(met, "__row", "left")
+    contexts, pairs = grow(learned, vocabulary, total + distinct + 1, store)
+    # What the tree adds depends on the text alone; equal texts are listed together and share it.
+    listed = docs.select(F.xxhash64(text).alias("__key"), text).mapInArrow(_listed, "__key long, c long, x long")
+    terms = listed.join(contexts, "c").join(pairs, ["c", "x"], "left").groupBy("__key").agg(F.sum(F.col("lb") + F.coalesce("d", F.lit(0.0))).alias("terms"))
+    terms = terms.join(scored.groupBy("__key").agg(F.count("*").alias("copies")), "__key").select("__key", (F.col("terms") / F.col("copies")).alias("in_tree"))
+    out = scored.drop("rare").join(met, "__row", "left").join(terms, "__key", "left")
     return out.select(
         "doc_id",
         "held_out",
@@ -283,5 +349,5 @@ def score_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
         (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(unit)).alias("base_score"),
-        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
+        (F.col("score") + F.coalesce("more", F.lit(0.0)) + F.coalesce("in_tree", F.lit(0.0))).alias("score"),
     )

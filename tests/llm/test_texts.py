@@ -331,6 +331,43 @@ def test_language_model(spark, odd, nothing):
     assert suffix_tree_lm.score_texts(spark, nothing).count() == 0
 
 
+def brute_tree(texts):
+    """A tree in one process with every pair and triple that occurs twice, however small its share."""
+    seen = [[*words(t), "\n"] for t in texts]
+    counts = collections.Counter(w for t in seen for w in t)
+    m = suffix_tree_lm.SuffixTree(list(counts), np.array(list(counts.values())), counts.total(), len(counts))
+    pairs = collections.Counter((m.number[a] * m.width + m.number[b]) for t in seen for a, b in zip(t, t[1:]))
+    triples = collections.Counter((m.number[a] * m.width + m.number[b], m.number[c]) for t in seen for a, b, c in zip(t, t[1:], t[2:]))
+    one = {k: n for k, n in pairs.items() if n >= 2}
+    one = suffix_tree_lm.Pairs(np.array(list(one)), np.array(list(one.values())), m.width, m.counts)
+    m.one = one.diverging(m.root(one.keys % m.width))
+    m.seconds = np.array(sorted(pairs))
+    number = {int(k): i for i, k in enumerate(m.seconds)}
+    two = {number[k] * m.width + x: n for (k, x), n in triples.items() if n >= 2}
+    two = suffix_tree_lm.Pairs(np.array(list(two)), np.array(list(two.values())), m.width, np.array([pairs[k] for k in m.seconds.tolist()]))
+    x = two.keys % m.width
+    own, back = m.one.find(m.seconds[two.keys // m.width] % m.width, x)
+    m.two = two.diverging(own + back * m.root(x))
+    return m
+
+
+def test_tree_has_rare_contexts(spark):
+    """A passage of two documents is known among 40,000 other tokens; with shares its contexts were too rare."""
+    passage = " ".join(f"rare{k}" for k in range(30))
+    rows = [(k, prose(k, 400)) for k in range(1, 101)] + [(k, f"{prose(k, 20)} {passage} {prose(k + 1, 20)}") for k in (101, 102, 103, 103)] + [(None, passage), (104, passage[:60])]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    m = brute_tree([t for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2])
+    assert len(m.two.keys) > 20
+    got = suffix_tree_lm.score_texts(spark, table).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        for t in (t for i, t in rows if i == r["doc_id"]):
+            x, starts, _ = m.sequence(*suffix_tree_lm.tokens([t]))
+            assert math.isclose(r["score"], np.log10(m.factors(x, starts)).sum(), rel_tol=1e-9)
+    (rare,) = [r for r in got if r["doc_id"] is None]
+    assert rare["score"] > 0.5 * rare["base_score"]
+
+
 def test_states_are_distributions():
     """At every state the probabilities of all tokens and the unknown one add up to 1."""
     m = suffix_tree_lm.SuffixTree(["\n", "a", "b", "c"], np.array([5, 40, 30, 20]), 95, 4)
