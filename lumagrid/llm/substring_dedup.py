@@ -1,11 +1,13 @@
 """Substring dedup by hashing units of lines.
 
 A text's unit is a line, cut further at sentence ends, because a repeated passage need not start or end
-with a line. Units are normalised (lower case, white space as one space) and hashed to 128 bits; digests
+with a line. As it need not start or end with a sentence either, sentences of over LONG words are cut further
+after words whose hash is the smallest among NEAR words on both sides: the same words are cut at the same
+places whatever is around them, NEAR words from the passage's ends on. Units are normalised (lower case, white space as one space) and hashed to 128 bits; digests
 are grouped over all documents and the earliest occurrence (by document id, then place) is the one to keep.
-Consecutive units whose earliest occurrence is elsewhere form a run; a run is cut out if at least MIN_WORDS
-of its words have their earliest occurrence in one and the same document, so that short sentences and
-single notices, which repeat by chance or by custom, stay. The spans that were cut are given as character
+Consecutive units whose earliest occurrence is elsewhere form a run, whichever documents have them; a run is
+cut out if it has at least MIN_WORDS words, so that short sentences and single notices, which repeat by chance
+or by custom, stay. The spans that were cut are given as character
 offsets of the original text.
 
 A removed unit's earliest occurrence always stays, so no passage vanishes from the corpus.
@@ -14,7 +16,7 @@ A removed unit's earliest occurrence always stays, so no passage vanishes from t
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,24 +29,47 @@ from .common import Staging
 from .joins import join_hot
 from .worker import claim
 
-#: A run of repeated units is removed from this many words of one source on.
+#: A run of repeated units is removed from this many words on.
 MIN_WORDS = 20
+#: A passage of 50 words whose ends lie in sentences of at most LONG words has MIN_WORDS words in whole sentences.
+LONG = 16
+NEAR = 4
 _END = re.compile(r"[.!?]\s+|\n\s*")
+_WORD = re.compile(r"\S+")
 _KEY = ["__doc", "__text_hash"]
 
 
+def _pieces(text: str, start: int, end: int, following: int) -> list[tuple[int, int, int]]:
+    """The units of a sentence or line."""
+    if end - start < 2 * LONG:  # too short for so many words
+        return [(start, end, following)]
+    places = [m.span() for m in _WORD.finditer(text, start, end)]
+    if len(places) <= LONG:
+        return [(start, end, following)]
+    h = [zlib.crc32(text[a:b].lower().encode("utf-8", "surrogatepass")) for a, b in places]
+    out, i, last = [], NEAR, len(h) - NEAR
+    while i < last:
+        if h[i] < min(h[i - NEAR : i]) and h[i] <= min(h[i + 1 : i + NEAR + 1]):
+            out.append((start, places[i][1], places[i + 1][0]))
+            start = places[i + 1][0]
+            i += NEAR
+        i += 1
+    out.append((start, end, following))
+    return out
+
+
 def units(text: str) -> list[tuple[int, int, int]]:
     """(start, end, start of the next unit) of each unit with a visible character."""
     out, at, n = [], len(text) - len(text.lstrip()), len(text)
     for m in _END.finditer(text, at):
         end = m.start() + (text[m.start()] in ".!?")
         if m.start() >= at and text[at:end].strip():
-            out.append((at, end, m.end()))
+            out += _pieces(text, at, end, m.end())
             at = m.end()
         elif m.start() >= at:
             at = m.end()
     if at < n and text[at:].strip():
-        out.append((at, n, n))
+        out += _pieces(text, at, n, n)
     return out
 
 
@@ -66,13 +91,13 @@ def first_places(text: str | None) -> dict[bytes, int]:
     return out
 
 
-def repeated_places(text: str, own: object, elsewhere: dict[int, object]) -> dict[int, object]:
+def repeated_places(text: str, own: object, elsewhere: dict[int, object], spans: list[tuple[int, int, int]]) -> dict[int, object]:
     """Places of repeated units with the document of the earliest occurrence.
 
     elsewhere says so for the first place of a digest; later places follow it, or else are the text's own.
     """
     seen: dict[bytes, int] = {}
-    d = digests(text, units(text))
+    d = digests(text, spans)
     out = {}
     for k in range(len(d) // 16):
         first = seen.setdefault(d[16 * k : 16 * k + 16], k)
@@ -99,12 +124,12 @@ def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("__doc").take(take), b.column("__text_hash").take(take), pa.array(place, pa.int32()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names=["__doc", "__text_hash", "__place", "__d1", "__d2"])
 
 
-def cut(text: str, repeated: dict[int, object], min_words: int) -> tuple[str, list[tuple[int, int]], int]:
+def cut(text: str, repeated: dict[int, object], min_words: int, spans: list[tuple[int, int, int]] | None = None) -> tuple[str, list[tuple[int, int]], int]:
     """The text without its repeated runs, the spans cut out, and the number of units in them.
 
     repeated: places of repeated units, with the document of the earliest occurrence.
     """
-    spans, gone, removed, k = units(text), [], 0, 0
+    spans, gone, removed, k = spans or units(text), [], 0, 0
     while k < len(spans):
         if k not in repeated:
             k += 1
@@ -112,10 +137,7 @@ def cut(text: str, repeated: dict[int, object], min_words: int) -> tuple[str, li
         end = k
         while end < len(spans) and end in repeated:
             end += 1
-        words: Counter = Counter()
-        for i in range(k, end):
-            words[repeated[i]] += len(text[spans[i][0] : spans[i][1]].split())
-        if max(words.values()) >= min_words:
+        if sum(len(text[a:b].split()) for a, b, _ in spans[k:end]) >= min_words:
             gone.append((spans[k][0], spans[end - 1][2]))
             removed += end - k
         k = end
@@ -166,9 +188,9 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
                     if not t:
                         out.append((t, [], 0, 0))
                         continue
-                    repeated = repeated_places(t, own, {x["p"]: x["d"] for x in p or ()})
-                    n = len(units(t))
-                    out.append((*cut(t, repeated, min_words), n) if repeated else (t, [], 0, n))
+                    spans = units(t)
+                    repeated = repeated_places(t, own, {x["p"]: x["d"] for x in p or ()}, spans)
+                    out.append((*cut(t, repeated, min_words, spans), len(spans)) if repeated else (t, [], 0, len(spans)))
                 columns = {c: b.column(c) for c in names}
                 columns[text_col] = pa.array([x[0] for x in out], pa.string())
                 columns["n_units"] = pa.array([x[3] for x in out], pa.int64())

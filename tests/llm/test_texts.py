@@ -277,6 +277,27 @@ def test_substring(spark, odd, nothing):
     assert substring_dedup.dedup_substrings(nothing).count() == 0 and substring_dedup.dedup_substrings(odd).count() == odd.count()
 
 
+def test_runs_of_many_sources(spark):
+    """Eight sentences that eight documents had first are cut together."""
+    parts = [prose(300 + k, 12) + f" source{k}" for k in range(8)]
+    rows = [(k, f"{prose(k, 30)} a{k}. {p}. {prose(k + 40, 30)} b{k}.") for k, p in enumerate(parts)] + [(k, f"Own start {k}. " + ". ".join(parts) + f". Own end {k}.") for k in (8, 9)]
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_cut(rows, substring_dedup.MIN_WORDS) and got[0] == rows[0][1]
+    assert [got[8], got[9]] == ["Own start 8. Own end 8.", "Own start 9. Own end 9."]
+
+
+def test_passages_inside_sentences(spark):
+    """A passage without any sentence end, inside other words, is cut out but for a few words at its ends."""
+    for seed in range(20):
+        passage = prose(600 + seed, 60)
+        rows = [(k, f"{prose(k + 7 * seed, 21 + k)} x{k} {passage} y{k} {prose(k + 700, 23)}.") for k in range(3)]
+        out = brute_cut(rows, substring_dedup.MIN_WORDS)
+        assert out[0] == rows[0][1] and all(len(out[k].split()) <= len(rows[k][1].split()) - 30 for k in (1, 2))
+        assert all(out[k].startswith(rows[k][1].split(passage)[0]) and out[k].endswith(rows[k][1].split(passage)[1]) for k in (1, 2))
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == out
+
+
 # ---- models
 
 
