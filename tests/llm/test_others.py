@@ -164,3 +164,19 @@ def test_no_swallowed_imports(name):
 
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert "ImportError" not in open(f"{root}/{name}").read() and "ModuleNotFound" not in open(f"{root}/{name}").read()
+
+
+def test_recall_at_the_threshold(spark):
+    """Over 1,024 vectors, with the constants as they are: pairs just over the threshold are linked, by sign cells too."""
+    for n in (1500, 20_000, 10**7):
+        bits, tables = embedding_dedup.plan_tables(n, 0.9)
+        assert bits > 0 and 1 - (1 - (1 - math.acos(0.9) / math.pi) ** bits) ** tables >= 0.998
+    rng = np.random.default_rng(12)
+    a, b = rng.standard_normal((2, 1100, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= np.einsum("ij,ij->i", a, b)[:, None] * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    near = 0.9005 * a + math.sqrt(1 - 0.9005**2) * b
+    rows = [(2 * i + k, v.tolist()) for i in range(len(a)) for k, v in enumerate((a[i], near[i]))]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert sum(got[2 * i] > 0 for i in range(len(a))) >= 0.98 * len(a)
