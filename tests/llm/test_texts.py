@@ -26,7 +26,8 @@ MODEL = bpe.Bpe(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
 TIKTOKEN = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
 HF = Tokenizer.from_file(JSON)
 HF.encode_special_tokens = True
-CHUNKED = packing._encoder(open(JSON, encoding="utf-8").read())
+PATTERN = public_tokenizers.PATTERN
+PACKED = packing._encoder(open(JSON, encoding="utf-8").read(), PATTERN)
 PARTS = st.lists(st.sampled_from([" ", "  ", "\n", "\t", "\r\n", "　", "\xa0", "'s", "'ll", "a", "B", "12", "é", "ß", "!", "...", "中", "😀", "\x1c", "\x85", "hello", "the", "_", "<|endoftext|>"]), max_size=30).map("".join)
 
 
@@ -48,7 +49,7 @@ def test_encoding_equals_the_libraries(text):
     want = TIKTOKEN.encode_ordinary(text)
     assert MODEL.encode(text).tolist() == want == MODEL.encode_batch([text, "x", text])[2].tolist()
     assert MODEL.decode(np.array(want, np.int64)) == text.encode()
-    assert CHUNKED.encode_batch([text])[0].tolist() == HF.encode(text, add_special_tokens=False).ids
+    assert PACKED(text).tolist() == HF.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("text", ["a" * 3000, "ab" * 2000, " " * 5000, "\n" * 700, "!" * 600, "in " * 4000, prose(5, 3000)])
@@ -100,10 +101,10 @@ def check_packing(rows, texts):
 
 def test_packing(spark, odd, nothing):
     distinct = odd.dropDuplicates(["doc_id"]).cache()
-    check_packing(packing.pack(distinct, JSON).collect(), [(r["doc_id"], r["text"]) for r in distinct.collect()])
-    assert packing.pack(nothing, JSON).count() == 0 and packing.pack(odd, JSON).count() >= odd.count()
+    check_packing(packing.pack(distinct, JSON, PATTERN).collect(), [(r["doc_id"], r["text"]) for r in distinct.collect()])
+    assert packing.pack(nothing, JSON, PATTERN).count() == 0 and packing.pack(odd, JSON, PATTERN).count() >= odd.count()
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    check_packing(packing.pack(docs, JSON).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()])
+    check_packing(packing.pack(docs, JSON, PATTERN).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
 def test_levels_are_sum_of_squares():
@@ -129,8 +130,50 @@ def test_levels_are_sum_of_squares():
             assert int((c[1:32] ** 2).sum()) == best
         levels.add(i, np.arange(size, dtype=np.uint32))
         assert levels.n_open <= 20 and levels.n_open == sum(map(len, levels.open)) == levels.count[1:32].sum()
+    before = levels.count[1:32] @ np.arange(1, 32)
     levels.settle(last=True)
-    assert levels.n_open == 0
+    assert levels.n_open == 0 and levels.moved <= 20 * 32 * 400 and before >= 0
+    used = collections.Counter()
+    for _, _, length, _, _, sequence, _ in levels.take():
+        used[sequence] += length
+    assert all(n == 32 or n & (n - 1) == 0 for n in used.values()) and sum(n < 32 for n in used.values()) <= 5
+
+
+def test_closing_moves_the_emptiest_only():
+    """Of what is open at the end, the fullest windows keep their pieces whole."""
+    rng = np.random.default_rng(3)
+    levels = packing.Levels(1024, 0)
+    sizes = rng.integers(1, 1024, 500)
+    for i, n in enumerate(sizes):
+        levels.add(i, np.full(n, i, np.uint32))
+    there = int(levels.count[1:1024] @ np.arange(1, 1024))
+    levels.settle(last=True)
+    assert levels.moved <= 0.6 * there
+
+
+def test_packing_ids_of_odd_texts():
+    """Ids equal the library's on code, tables, long runs and long pieces, of every length around the fallback's."""
+    rng = random.Random(6)
+    code = "\n".join("    " * rng.randint(0, 5) + f"if x[{k}] == {rng.random():.4f}:\t# {prose(k, 4)}  |" for k in range(400))
+    table = "\n".join("|".join(f" {rng.randint(0, 10**9):>12} " for _ in range(8)) for _ in range(300))
+    runs = [a + c * n + b for c in (" ", "\n", "\t \n") for n in (2047, 4095, 4096, 4097, 9000) for a, b in (("", ""), ("x", "y"), ("x ", " "))]
+    blob = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000))
+    for text in [code, table, *runs, blob, "中文" * 3000, "".join(chr(rng.randrange(1, 0xD800)) for _ in range(3000))]:
+        assert PACKED(text).tolist() == HF.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_keeps_nothing_between_texts():
+    """Memory stays bounded over 100,000 texts that no cutting at spaces suits."""
+    import resource
+
+    filler = "  \t" + prose(8, 100)
+    PACKED(filler + "0")
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    levels = packing.Levels(1024, 0)
+    for i in range(100_000):
+        levels.add(i, PACKED(f"{filler}{i}"))
+        levels.take()
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000
 
 
 # ---- copies
