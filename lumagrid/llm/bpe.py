@@ -3,15 +3,15 @@
 Each match of the pattern is a row of a matrix, padded within its bucket of similar lengths. In every
 round each row merges its leftmost pair of minimum rank; ranks come from a hashed table of pairs, rows
 are shifted together after a merge, and rows without a pair left leave the matrix.
-Matches of over LONG bytes would need as many rounds as merges; they are merged one by one with a heap
-that takes pairs in the same order (rank, then place).
+In wide matrices (from WIDE columns on) a row merges all its pairs of that rank in one round, from left to right,
+if none of the pairs that this makes has a lower rank: the one-by-one rounds would then take just these, in a row.
+If one has, the row merges its leftmost pair alone, as always.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .chunks import WHITE, ChunkEncoder, gather
 from .worker import cache, claim
 
-LONG = 512
+#: Columns from which a row merges several pairs a round.
+WIDE = 48
 #: Rows of a matrix at most.
 ROWS = 50_000
 NONE = np.int32(2**31 - 1)
@@ -102,36 +103,50 @@ class Bpe:
         n = np.array([len(p) for p in parts], np.int64)
         return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(n) - n, n
 
-    def _one_by_one(self, piece: bytes) -> list[int]:
-        """The same merges for a very long match: a heap of (rank, place) over a linked list."""
-        ids = [int(x) for x in self.byte[np.frombuffer(piece, np.uint8)]]
-        n = len(ids)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        made: dict[tuple[int, int], int] = {}
-
-        def rank(i: int) -> int | None:
-            j = after[i]
-            if j >= n:
-                return None
-            pair = (ids[i], ids[j])
-            if pair not in made:
-                made[pair] = int(self.table.find(np.array([pair[0]], np.int32), np.array([pair[1]], np.int32))[0])
-            return None if made[pair] == NONE else made[pair]
-
-        heap = [(r, i) for i in range(n) if (r := rank(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if not alive[i] or rank(i) != r:
-                continue
-            j = after[i]
-            ids[i], alive[j], after[i] = r, False, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for k in (before[i], i):
-                if k >= 0 and (r := rank(k)) is not None:
-                    heapq.heappush(heap, (r, k))
-        return [x for x, a in zip(ids, alive, strict=True) if a]
+    def _all_of_rank(self, tok: np.ndarray, rank: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tok, rank) after each row has merged its pairs of rank ``best``, or the leftmost of them alone."""
+        n, width = tok.shape
+        hit = rank == best[:, None]
+        column = np.arange(width - 1)
+        # Of neighbouring hits every other one is taken, from the left.
+        start = np.maximum.accumulate(np.where(hit, -1, column), axis=1)
+        take = hit & ((column - start) % 2 == 1)
+        row, at = np.nonzero(take)
+        new = best[row]
+        before = np.where(at > 0, tok[row, at - 1], -1)
+        joined = at > 1
+        joined[joined] = take[row[joined], at[joined] - 2]
+        before = np.where(joined, new, before)
+        after = np.where(at + 2 < width, tok[row, np.minimum(at + 2, width - 1)], -1)
+        lower = np.minimum(self.table.find(before, new), self.table.find(new, after)) <= new
+        if lower.any():
+            alone = np.zeros(n, bool)
+            alone[row[lower]] = True
+            first = hit.argmax(1)
+            take[alone] = False
+            take[alone, first[alone]] = True
+            row, at = np.nonzero(take)
+            new = best[row]
+        tok[row, at] = new
+        gone = tok < 0
+        gone[row, at + 1] = True
+        kept = ~gone
+        place = np.cumsum(kept, axis=1) - 1
+        most = int(place[:, -1].max()) + 1
+        to, source = np.nonzero(kept)
+        column = place[to, source]
+        out = np.full((n, most), -1, np.int32)
+        out[to, column] = tok[to, source]
+        if most == 1:
+            return out, np.zeros((n, 0), np.int32)
+        ranks = np.full((n, most), NONE, np.int32)
+        ranks[to, column] = np.concatenate([rank, np.full((n, 1), NONE, np.int32)], axis=1)[to, source]
+        at = place[row, at]
+        ranks[row, at] = NONE
+        for k in (at - 1, at):  # only the pairs on both sides of a new id have changed
+            ok = (k >= 0) & (k < most - 1)
+            ranks[row[ok], k[ok]] = self.table.find(out[row[ok], k[ok]], out[row[ok], k[ok] + 1])
+        return out, np.ascontiguousarray(ranks[:, :-1])
 
     def _matrix(self, rows: list[bytes], own: np.ndarray, ended: list) -> None:
         """All merges of rows of one bucket; appends (numbers of rows, their ids joined, counts)."""
@@ -156,6 +171,9 @@ class Bpe:
                 own, tok, rank, at, best = own[go], tok[go], rank[go], at[go], best[go]
                 if not own.size:
                     return
+            if tok.shape[1] >= WIDE:
+                tok, rank = self._all_of_rank(tok, rank, best)
+                continue
             every = np.arange(len(own))
             tok = np.where(np.arange(tok.shape[1] - 1) <= at[:, None], tok[:, :-1], tok[:, 1:])
             tok[every, at] = best
@@ -177,12 +195,7 @@ class Bpe:
         bucket = np.where(sizes <= 16, sizes, 16 + bits)
         for k in np.unique(bucket[sizes > 0]):
             members = np.flatnonzero(bucket == k)
-            if int(sizes[members].max()) > LONG:
-                for i in members[sizes[members] > LONG]:
-                    ids = np.array(self._one_by_one(pieces[i]), np.int32)
-                    ended.append((np.array([i]), ids, np.array([len(ids)])))
-                members = members[sizes[members] <= LONG]
-            rows = max(1, min(ROWS, 2_000_000 // (1 << int(bits[members].max())))) if members.size else 1
+            rows = max(1, min(ROWS, 2_000_000 // (1 << int(bits[members].max()))))
             for lo in range(0, len(members), rows):
                 part = members[lo : lo + rows]
                 self._matrix([pieces[i] for i in part], part, ended)

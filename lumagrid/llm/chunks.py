@@ -4,8 +4,9 @@ The pre-tokenising pattern of the byte-level vocabularies always starts a new ma
 follows a non-space, and at the last space of a run before a non-space. Cutting at each space is
 therefore safe unless a space stands inside a run of white space or at its end before the text's end;
 such texts are cut by the pattern itself. Equal chunks have equal ids, so distinct chunks are encoded once
-and known in two generations of tables of bounded size: a full one becomes the old one, from which
-what is met again moves on; the rest is forgotten.
+and known in two generations of tables, bounded in number and in bytes: a full one becomes the old one, from
+which what is met again moves on; the rest is forgotten. Where a single block of words overfills a table, both
+generations are forgotten, so no long chunk outlives the text that it is from.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ import regex
 WHITE = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 #: What makes a text unsafe to cut at spaces, with the two commonest cases first.
 _RARE_WHITE = regex.compile("[\\x0B\\x0C\\x1C-\\x1F\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]")
-#: Known chunks of a generation at most (some 200 bytes each).
-CHUNKS = 450_000
+#: Known chunks of a generation at most, and their bytes at most (a chunk costs some 150 bytes besides its own).
+CHUNKS = 300_000
+CHUNK_BYTES = 16_000_000
 #: Words that are turned into ids at once.
-BLOCK = 200_000
+BLOCK = 100_000
 #: Characters of texts that are cut together.
 SLICE = 4_000_000
 
@@ -57,6 +59,7 @@ class _Codes(dict):
         owner = self.owner
         code = self[word] = owner.n
         owner.n += 1
+        owner.bytes += len(word)
         known = self.old.get(word)
         if known is None:
             owner.new.append(self.before + word)
@@ -105,6 +108,14 @@ class ChunkEncoder:
         self.spaced, self.plain = {}, {}
         self._turn()
 
+    def _full(self) -> None:
+        """A full generation becomes the old one, or goes if it is too large for that."""
+        if self.n > CHUNKS or self.bytes > CHUNK_BYTES:
+            if self.n > 2 * CHUNKS or self.bytes > 2 * CHUNK_BYTES:
+                self.clear()
+            else:
+                self._turn()
+
     def _turn(self) -> None:
         """What is known becomes the old generation."""
         self.old, self.table = self.table, _Table()
@@ -114,7 +125,7 @@ class ChunkEncoder:
                 x.old = {}
         self.spaced, self.plain = _Codes(self, " ", old[0]), _Codes(self, "", old[1])
         self.new, self.new_codes, self.moved, self.moved_codes = [], [], [], []
-        self.n = 0
+        self.n = self.bytes = 0
 
     def _learn(self) -> None:
         if self.moved:
@@ -134,8 +145,7 @@ class ChunkEncoder:
         words = self.find(text) if risky else text.split(" ")
         at = 0
         while at < len(words):
-            if self.n > CHUNKS:
-                self._turn()
+            self._full()
             block = words[at : at + BLOCK]
             if risky:
                 codes = self._codes(self.plain, block)
@@ -173,8 +183,7 @@ class ChunkEncoder:
 
     def _group(self, texts: list[str], group: list[int], out: list[np.ndarray]) -> None:
         """Arrow cuts at spaces and numbers the distinct words; only those are looked up one by one."""
-        if self.n > CHUNKS:
-            self._turn()
+        self._full()
         split = pc.split_pattern(pa.array([texts[i] for i in group], pa.large_string()), " ")
         words = split.values.dictionary_encode()
         first = split.offsets.to_numpy()

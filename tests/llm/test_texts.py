@@ -52,11 +52,39 @@ def test_encoding_equals_the_libraries(text):
     assert PACKED(text).tolist() == HF.encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("text", ["a" * 3000, "ab" * 2000, " " * 5000, "\n" * 700, "!" * 600, "in " * 4000, prose(5, 3000)])
+def letters(seed, n, alphabet="abcdefghijklmnopqrstuvwxyz"):
+    rng = random.Random(seed)
+    return "".join(rng.choice(alphabet) for _ in range(n))
+
+
+LONG_PIECES = ["a" * 3000, "ab" * 2000, "aab" * 999, " " * 5000, "\n" * 700, "!" * 600, "=-" * 900, "in " * 4000, prose(5, 3000), prose(6, 900).replace(" ", ""), letters(1, 40_000), letters(2, 5000, "ab"), letters(3, 5000, "the"), letters(4, 3000, "中文字é"), letters(5, 3000, "=-*#_")]
+
+
+@pytest.mark.parametrize("text", LONG_PIECES)
 def test_long_pieces(text):
     assert MODEL.encode(text).tolist() == TIKTOKEN.encode_ordinary(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.sampled_from(["ab", "in", "the", "=-", "aeiou", "stern"]), st.integers(1, 400), st.integers(0, 10**6))
+def test_all_pairs_of_a_rank(alphabet, n, seed):
+    """Rows that merge several pairs a round end like rows that merge one."""
+    text = letters(seed, n, alphabet)
+    assert MODEL.encode(text).tolist() == TIKTOKEN.encode_ordinary(text)
+
+
+def test_known_chunks_are_bounded_in_bytes(monkeypatch):
+    from lumagrid.llm import chunks
+
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 20_000)
+    model = bpe.Bpe(bpe.read_ranks(RANKS), PATTERN)
+    for i in range(60):
+        text = f"\t{letters(i, 3000)}  {prose(i, 50)}" if i % 2 else f"{letters(i, 9000)} {prose(i, 300)}"
+        assert model.encode_batch([text])[0].tolist() == TIKTOKEN.encode_ordinary(text)
+        held = sum(len(w) for names in (model.encoder.spaced, model.encoder.plain) for d in (names, names.old) for w in d)
+        assert held <= 3 * 20_000 + len(text)
+
+
 def test_unknown_ids():
     with pytest.raises(ValueError):
         MODEL.decode(np.array([10**6]))
