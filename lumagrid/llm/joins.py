@@ -9,6 +9,8 @@ from .common import Staging
 
 #: Hot keys that are broadcast at most.
 HOT_ROWS = 10_000
+#: Links of a node from which its links are not joined in one task.
+HOT_NODE = 100_000
 
 
 def join_hot(many: DataFrame, few: DataFrame, keys: list[str], weight: Column, total: int, how: str = "inner") -> DataFrame:
@@ -26,12 +28,25 @@ def join_hot(many: DataFrame, few: DataFrame, keys: list[str], weight: Column, t
     return done.unionByName(rest.join(few.filter(weight < least), keys, how), allowMissingColumns=False)
 
 
+def _lowest(edges: DataFrame, store: Staging, size: int) -> DataFrame:
+    """(v, u) -> (v, u, m): m is the smallest u of v; minima are combined before the exchange, hot v are broadcast.
+
+    size is the number of edges at most: with fewer than HOT_NODE no node can be hot.
+    """
+    low = edges.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("__links"))
+    if size >= HOT_NODE:
+        most, total = edges.groupBy("v").count().agg(F.max("count"), F.sum("count")).first()
+        if most >= HOT_NODE:
+            return join_hot(edges, store.put(low), ["v"], F.col("__links"), total).drop("__links")
+    return edges.join(low.drop("__links"), "v")
+
+
 def components(links: DataFrame, store: Staging, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(a, b) -> (node, component): the smallest node reachable, for every node that has a link.
 
     Alternates large-star and small-star steps: each hangs the neighbours of a node on the smallest of them,
-    as minima by node (combined before the exchange) and one join, until no edge changes. Every round is
-    written to the shared folder and the one before it deleted.
+    as minima by node (combined before the exchange) and one join, until no edge changes; a node of HOT_NODE links or
+    more is joined by a broadcast. Every round is written to the shared folder and the one before it deleted.
     """
     edges = store.put(
         links.filter(F.col(a) != F.col(b))
@@ -39,30 +54,32 @@ def components(links: DataFrame, store: Staging, a: str = "a", b: str = "b", rou
         .distinct()
     )
     nodes = edges
-    if edges.limit(1).count() == 0:
+    # Two sets of edges are the same if their number, sum and exclusive or of hashes are.
+    h = F.xxhash64("v", "u")
+    print_of = lambda e: tuple(e.agg(F.count("*"), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h), F.bit_xor(F.hash("v", "u"))).first())
+    known = print_of(edges)
+    if known[0] == 0:
         return edges.select(F.col("v").alias("node"), F.col("u").alias("component"))
     for _ in range(rounds):
         both = edges.select("v", "u").union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = both.groupBy("v").agg(F.min("u").alias("m")).withColumn("m", F.least("v", "m"))
         # Large star: neighbours above v hang on the smallest of v and its neighbours.
-        large = both.filter(F.col("u") > F.col("v")).join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v != u").distinct()
+        large = _lowest(both, store, 2 * known[0]).filter(F.col("u") > F.col("v")).select(F.col("u").alias("v"), F.least("v", "m").alias("u")).filter("v != u").distinct()
         # Small star: v and its neighbours below hang on the smallest of them.
         mid = store.put(large)
-        least = mid.groupBy("v").agg(F.min("u").alias("m"))
         small = (
-            mid.join(least, "v")
+            _lowest(mid, store, known[0])
             .select(F.explode(F.array(F.struct(F.col("v").alias("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e"))
             .select("e.v", "e.u")
             .filter("v != u")
             .distinct()
         )
         following = store.put(small)
-        same = following.join(edges, ["v", "u"], "left_anti").limit(1).count() == 0 and following.count() == edges.count()
+        before, known = known, print_of(following)
         store.drop(mid)
         if edges is not nodes:
             store.drop(edges)
         edges = following
-        if same:
+        if known == before:
             break
     else:
         raise RuntimeError("the components have not settled")
