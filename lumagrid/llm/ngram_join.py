@@ -48,7 +48,10 @@ MATCHES = (1, 2, 4, 8, 16, 32, 64, 128, 256, 512)
 #: (From this size on, at least so many matches); both rise: from a twentieth of the size down to half of that.
 LEAST_MATCHES = ((0, 1), (40, 2), (80, 4), (160, 8), (320, 16), (640, 32), (1280, 64), (2560, 128), (5120, 256))
 GROUP_WEIGHT = 1_000_000
-GROUP_DOCS = 2000
+#: Documents of a group from which it is dealt into bands and blocks.
+GROUP_DOCS = 200
+#: Blocks have a sixteenth of a band's documents, but so many at least and at most.
+BLOCK_DOCS = (100, 2000)
 
 
 def least_matches(n: int) -> int:
@@ -75,13 +78,13 @@ def _describe(k: int):
             values, n = np.unique(np.concatenate(held), return_counts=True)
             values, n = values[n > 1].view(np.int64), n[n > 1]
             zero = pa.nulls(len(n), ids)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), zero, pa.array(values), pa.array(np.zeros(len(n), np.int64)), pa.array(n.astype(np.int64))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), zero, pa.array(np.zeros(len(n), np.int64)), pa.array(values), pa.array(np.zeros(len(n), np.int64)), pa.array(n.astype(np.int64))], names=names)
 
-        names, ids = ["what", "id", "d1", "d2", "n"], pa.int64()
+        names, ids = ["what", "id", "key", "d1", "d2", "n"], pa.int64()
         for b, sets in _sets(batches, k):
             ids = b.column("__id").type
             d = [_digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(d), np.int32)), b.column("__id"), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(d), np.int32)), b.column("__id"), b.column("__key"), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=names)
             held += sets
             size += sum(map(len, sets))
             if size > COUNT_AT_ONCE:
@@ -114,7 +117,7 @@ class Order:
         """(members in order, prefix length, matches asked for); only the start of the members unless whole."""
         n = len(s)
         spare = n - self.needed(n)
-        low = least_matches(n)
+        low = min(least_matches(n), n - spare)
         most = min(n, spare + next(m for m in MATCHES if m >= 2 * low))
         part = s if whole else s[: min(n, 2 * most + 16)]
         f = self.frequency(part)
@@ -124,7 +127,7 @@ class Order:
             by = np.lexsort((part, f))
             part, f = part[by], f[by]
         cost = np.cumsum(np.maximum(f[:most], 1))
-        best = min((m for m in MATCHES if low <= m and spare + m <= most), key=lambda m: cost[spare + m - 1] * (1 + 1 / m))
+        best = min({low, *(m for m in MATCHES if low <= m and spare + m <= most)}, key=lambda m: cost[spare + m - 1] * (1 + 1 / m))
         return part, spare + best, best
 
 
@@ -151,33 +154,35 @@ def _dealt(k: int, order):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = order.value
+        seen: set[int] = set()
         for b, sets in _sets(batches, k):
-            ids, wanted, cells = (b.column(c).to_pylist() for c in ("__id", "d1", "cells"))
+            wanted, cells = (b.column(c).to_pylist() for c in ("d1", "cells"))
             out: list[tuple] = []
             size = 0
             for i, s in enumerate(sets):
-                if not len(s) or _digest(s)[0] != wanted[i]:
+                if not len(s) or wanted[i] in seen or _digest(s)[0] != wanted[i]:
                     continue
+                seen.add(wanted[i])
                 members, p, m = o.prefix(s, whole=True)
                 raw = members.tobytes()
                 for cell in cells[i]:
                     n = cell["blocks"]
                     mine = wanted[i] % n
                     for x in range(n):
-                        out.append((cell["cell"], cell["band"], min(mine, x), max(mine, x), mine, ids[i], p, m, raw))
+                        out.append((cell["cell"], cell["band"], min(mine, x), max(mine, x), mine, wanted[i], p, m, raw))
                         size += len(raw)
                 if size > 8_000_000:
-                    yield _dealt_batch(out, b.column("__id").type)
+                    yield _dealt_batch(out)
                     out, size = [], 0
-            yield _dealt_batch(out, b.column("__id").type)
+            yield _dealt_batch(out)
 
     return run
 
 
-def _dealt_batch(rows: list[tuple], ids: pa.DataType) -> pa.RecordBatch:
+def _dealt_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [()] * 9
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), ids, pa.int32(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["cell", "band", "x", "y", "block", "id", "p", "m", "members"])
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["cell", "band", "x", "y", "block", "d1", "p", "m", "members"])
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
@@ -238,29 +243,30 @@ def linked(sets: list[np.ndarray], prefix: np.ndarray, matches: np.ndarray, bloc
 def _verified(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (cell, band, x, y); one cell (or pair of blocks) is held at a time."""
-        key, held, found = None, [], []
+        key, held, found = None, {}, []
 
         def close() -> None:
             if len(held) > 1:
-                ids = [r[0] for r in held]
-                args = [np.array(c) for c in zip(*(r[1:4] for r in held), strict=True)]
-                for i, j in linked([r[4] for r in held], *args, num, den):
-                    found.append((ids[i], ids[j]))
+                names, rows = list(held), list(held.values())
+                args = [np.array(c) for c in zip(*(r[:3] for r in rows), strict=True)]
+                for i, j in linked([r[3] for r in rows], *args, num, den):
+                    found.append((names[i], names[j]))
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
-        kind = pa.int64()
         for b in batches:
-            kind = b.column("id").type
-            for cell, band, x, y, block, i, p, m, raw in zip(*(b.column(c).to_pylist() for c in ("cell", "band", "x", "y", "block", "id", "p", "m", "members")), strict=True):
+            for cell, band, x, y, block, d, p, m, raw in zip(*(b.column(c).to_pylist() for c in ("cell", "band", "x", "y", "block", "d1", "p", "m", "members")), strict=True):
                 if (cell, band, x, y) != key:
                     close()
-                    key, held = (cell, band, x, y), []
-                held.append((i, p, m, block, np.frombuffer(raw, np.uint64)))
+                    key, held = (cell, band, x, y), {}
+                held[d] = (p, m, block, np.frombuffer(raw, np.uint64))  # repeated rows of a class come from several tasks
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], kind), pa.array([x[1] for x in found], kind)], names=["a", "b"])
+                yield batch()
                 found.clear()
         close()
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], kind), pa.array([x[1] for x in found], kind)], names=["a", "b"])
+            yield batch()
 
     return run
 
@@ -270,14 +276,20 @@ def jaccard_groups(docs: DataFrame, words: int, num: int, den: int, id_col: str
 
     Documents link if den * |common| >= num * |union| of their sets of ``words``-word shingles. Texts without
     words (also null ones) have an empty set and link with nothing. component_id is the smallest id reachable by
-    links, itself included; class_size is the number of rows with an equal set. Rows that share an id are one
-    node of the graph; rows with a null id are never linked. Other columns are ignored.
+    links, itself included; class_size is the number of rows with an equal set. Each row is a node of its own, also
+    where rows share an id; rows with a null id are never linked. Other columns are ignored.
     """
+    return _grouped(docs, words, num, den, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "class_size")
+
+
+def _grouped(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, component, class_size, key, root) of every row; key is a hash of the text, root names the component where ids repeat."""
     spark = docs.sparkSession
     store = Staging(spark, "ngrams")
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    told = store.put(texts.mapInArrow(_describe(words), f"what int, id {kind}, d1 long, d2 long, n long"))
+    hashed = texts.withColumn("__key", F.xxhash64("__text"))
+    told = store.put(hashed.mapInArrow(_describe(words), f"what int, id {kind}, key long, d1 long, d2 long, n long"))
     described = told.filter("what = 0").drop("what")
     total, occurrences = described.agg(F.count("*"), F.sum("n")).first()
     least = max(LEAST_FREQUENT, int((occurrences or 0) * FREQUENT))
@@ -295,7 +307,7 @@ def jaccard_groups(docs: DataFrame, words: int, num: int, den: int, id_col: str
     info = store.put(info)
 
     def asked(size):
-        return F.greatest(*[F.when(size >= at, m).otherwise(1) for at, m in LEAST_MATCHES])
+        return F.least(F.greatest(*[F.when(size >= at, m).otherwise(1) for at, m in LEAST_MATCHES]), F.ceil(size * num / den))
 
     pairs = F.expr("flatten(transform(ds, (x, i) -> transform(slice(ds, i + 2, size(ds)), y -> struct(least(x, y) AS a, greatest(x, y) AS b))))")
     counted = postings.filter(F.col("met") <= SMALL).groupBy("token").agg(F.collect_list("d1").alias("ds")).select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("both"))
@@ -311,26 +323,49 @@ def jaccard_groups(docs: DataFrame, words: int, num: int, den: int, id_col: str
     big = lambda w, m: (w > GROUP_WEIGHT) | (m > GROUP_DOCS)
     weights = members.groupBy("cell").agg(F.sum("n").alias("w"), F.count("*").alias("m"))
     large_cells = weights.filter(big(F.col("w"), F.col("m"))).select("cell", F.lit(True).alias("large"))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
+    # Sizes that can link differ by den / num at most (with num = den they are equal, and each size is a band).
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int") if num < den else 2 * F.col("n").cast("int")
     banded = members.join(large_cells, "cell", "left").withColumn("band", F.explode(F.when(F.col("large"), F.array(band, band + 1)).otherwise(F.array(F.lit(0)))))
     banded = store.put(banded.select("cell", "band", "rep", "d1", "n"))
     weights = store.put(banded.groupBy("cell", "band").agg(F.sum("n").alias("w"), F.count("*").alias("m")).filter("m > 1"))
-    blocks = F.greatest(F.ceil(F.col("w") / GROUP_WEIGHT), F.ceil(F.col("m") / GROUP_DOCS)).cast("int").alias("blocks")
+    per_block = F.greatest(F.lit(BLOCK_DOCS[0]), F.least(F.lit(BLOCK_DOCS[1]), F.ceil(F.col("m") / 16)))
+    by_docs = F.when(F.col("m") > GROUP_DOCS, F.ceil(F.col("m") / per_block)).otherwise(1)
+    blocks = F.greatest(F.ceil(F.col("w") / GROUP_WEIGHT), by_docs).cast("int").alias("blocks")
     in_cells = join_hot(banded, weights, ["cell", "band"], F.col("m"), max(1, total)).select("rep", "d1", F.struct("cell", "band", blocks).alias("c"))
     # A document is in one group and, if that is large, in two bands of it.
     listed = in_cells.groupBy("rep", "d1").agg(F.collect_list("c").alias("cells"))
-    dealt = texts.join(listed, texts["__id"] == listed["rep"]).select("__id", "__text", "d1", "cells").mapInArrow(_dealt(words, order), f"cell long, band int, x int, y int, block int, id {kind}, p int, m int, members binary")
+    dealt = texts.join(listed, texts["__id"] == listed["rep"]).select("__text", "d1", "cells").mapInArrow(_dealt(words, order), "cell long, band int, x int, y int, block int, d1 long, p int, m int, members binary")
     dealt = dealt.repartition("cell", "band", "x", "y").sortWithinPartitions("cell", "band", "x", "y")
-    links = store.put(dealt.mapInArrow(_verified(num, den), f"a {kind}, b {kind}"))
+    links = store.put(dealt.mapInArrow(_verified(num, den), "a long, b long"))
+    # Classes are the nodes; a component's name is the smallest id of its classes.
     groups = components(links, store)
-    named = classes.join(groups, classes["rep"] == groups["node"], "left").select("d1", "d2", "n", "copies", F.coalesce("component", "rep").alias("component"))
+    rooted = store.put(classes.join(groups, classes["d1"] == groups["node"], "left").select("d1", "d2", "n", "rep", "copies", F.coalesce("component", "d1").alias("root")))
+    roots = store.put(rooted.groupBy("root").agg(F.min("rep").alias("component"), F.count("*").alias("classes")))
+    named = join_hot(rooted, roots, ["root"], F.col("classes"), max(1, total)).select("d1", "d2", "n", "copies", "component", "root")
     own = described.filter("n > 0 AND id IS NOT NULL")
     grouped = join_hot(own, store.put(named), ["d1", "d2", "n"], F.col("copies"), total)
-    alone = described.filter("n = 0 OR id IS NULL").select("d1", "d2", "n", "id", F.lit(None).cast("long").alias("copies"), F.col("id").alias("component"))
-    return grouped.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce("copies", F.lit(1)).alias("class_size"))
+    alone = described.filter("n = 0 OR id IS NULL").withColumns({"copies": F.lit(1).cast("long"), "component": F.col("id"), "root": F.lit(None).cast("long")})
+    return grouped.unionByName(alone).select("id", "n", "component", F.col("copies").alias("class_size"), "key", "root")
 
 
 def drop_similar(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of the documents that are the smallest id of their group."""
-    gone = jaccard_groups(docs, words, num, den, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """One row of each group, with all columns: that of the smallest id (of rows that share it, of the smallest text hash).
+
+    Rows with a null id and rows without words are groups of their own and stay. Ids needn't be unique: rows are told
+    apart by id and text; of rows that repeat both, any one stays if they have words.
+    """
+    store = Staging(docs.sparkSession, "similar")
+    rows = store.put(_grouped(docs, words, num, den, id_col, text_col).filter("id IS NOT NULL AND n > 0").select("id", "key", "component", "root"))
+    # Only rows that have their component's id can stay; where there are several, that of the smallest key.
+    first = rows.filter("id = component").groupBy("root").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").select("root", "first")
+    other = rows.filter("id = component").join(F.broadcast(first) if first.count() < 10_000 else first, "root").filter(F.col("key") != F.col("first")).select(*rows.columns)
+    gone = rows.filter("id != component").unionByName(other)
+    gone = gone.select(F.col("id").alias("__gone"), F.col("key").alias("__key")).distinct()
+    kept = docs.join(gone, (docs[id_col] == gone["__gone"]) & (F.xxhash64(docs[text_col]) == gone["__key"]), "left_anti")
+    repeated = rows.groupBy("id", "key").count().filter("count > 1").limit(1).count()
+    if not repeated:
+        return kept
+    # A row that repeats another can't be told from it: rows with words are made distinct by id and text.
+    named = kept.withColumns({"__words": F.col(id_col).isNotNull() & F.coalesce(F.regexp_like(F.col(text_col), F.lit("[^\\x20\\x09-\\x0D]")), F.lit(False)), "__key": F.xxhash64(text_col)})
+    single = named.filter("__words").dropDuplicates([id_col, "__key"])
+    return single.unionByName(named.filter(~F.col("__words"))).select(*docs.columns)
