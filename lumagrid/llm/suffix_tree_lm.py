@@ -1,315 +1,366 @@
 """Language model: a probabilistic suffix tree over words.
 
-A text is a sequence of tokens (words, lower-cased A-Z, then one end). A state is the last 0, 1 or 2 tokens.
-A context is kept if its next tokens diverge from those of its suffix: the log likelihood (in nats) that the
-state adds over its own occurrences has to reach DIVERGENCE for each next token that it stores. A token is
-scored in the longest kept suffix of what is before it:
-
-    P(x | s) = (c(s, x) + b(s) * P(x | suffix of s)) / (c(s) + m(s)),   b(s) = c(s) - sum of stored c(s, .) + m(s)
-
-c(s, x) is stored from LEAST occurrences on, whatever the size of the corpus; m(s) is the number of stored tokens; what
-isn't stored goes to the suffix, so probabilities add up to 1. The root is (c(x) + 1) / (N + V + 1), where all
-words that training doesn't have are one more token.
-
-The tree grows with the corpus, so it is a staged table and never sent along. The logarithm of P is a sum:
-the root's, log b(s) / (c(s) + m(s)) for each kept context s before the token, and one more term where s stores
-the token. Documents list their (context, token) pairs, which meet both kinds of terms in exchanges. Words and
-contexts are 64-bit hashes there. All counts come from all training documents. The root needs the count of every
-word: frequent words (at most 1 / WORD_SHARE) are sent along, each document lists the others, which meet the
-counts in one exchange.
+A text is a sequence of tokens (words, lower-cased A-Z, then one end). A state is the last 0 to ORDER tokens. With
+n(s, x) for the times that x follows s in training and c(s) for the sum of these, a token is scored in the longest
+retained suffix of what is before it, smoothed by the next shorter one:
+
+    P(x | s) = (n(s, x) + WEIGHT * P(x | suffix of s)) / (c(s) + WEIGHT)
+
+which adds up to 1 over x at every state. The root is (c(x) + 1) / (N + V + 1); all words that training doesn't have
+are one more token. A context that occurs LEAST times is retained by a divergence test: the log likelihood (in nats)
+that it adds to its own occurrences over its suffix, each occurrence left out when it is predicted itself, has
+to exceed DIVERGENCE. All counts come from all training documents and nothing but these absolute numbers prunes them.
+
+The tree grows with the corpus and is never in one place. Texts become chunks of about CHUNK tokens (a row of a
+staged table: the hashes of its distinct words, the place of each token among them). A chunk asks for what it needs,
+each key once: a round sends sorted keys with the chunk's own counts to the bucket that owns the range of keys; the
+bucket adds up and answers in the order of the keys. So a word or context that makes up a third of the corpus is one
+entry a chunk. The rounds (STEPS): counts of words; of pairs; of triples; of four and five tokens, each only where the
+parts that are known occur LEAST times; the divergences of all contexts; then every chunk scores its own documents. Keys are 64-bit hashes: among
+10^9 distinct words the chance that any two are taken for one is 3 %.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Staging, crc_mod, learned_from
-from .shingles import slices
+from .shingles import _mix, slices, word_hashes
+from .worker import claim
 
-#: Words whose counts are sent along; the others' counts are met by an exchange.
-WORD_SHARE = 5e-7
-#: Occurrences of a context with a next token from which the count is stored.
+#: Tokens of the longest context.
+ORDER = 4
+#: Occurrences from which a context can be retained.
 LEAST = 2
-DIVERGENCE = 2.0
-#: Distinct words that a task holds before it passes its counts on.
-HELD = 300_000
-END = "\n"  # no word has white space
-
+WEIGHT = 10.0
+DIVERGENCE = 1.0
+#: Tokens of a chunk (one document more at most).
+CHUNK = 1_300_000
+#: The lengths of contexts that are asked for together; longer steps are fewer passes and more keys.
+STEPS = ((1,), (2,), (3, 4))
+#: Buckets are 2 ** bits: so many keys each, and so many buckets at least.
+BUCKET_KEYS = 1_500_000
+LEAST_BITS = 7
+END = xxhash.xxh3_64_intdigest("\n")  # no word has white space
+#: Number of the round that asks for the divergence of contexts of o tokens: GAIN + o.
+GAIN = 100
+_K = np.uint64(0xC2B2AE3D27D4EB4F)
+
+ASKED = "bucket int, round int, chunk long, n int, keys binary, numbers binary"
+ANSWERED = "chunk long, round int, bucket int, n int, numbers binary, total long, distinct long"
+
+
+def _squeeze(x: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unsqueeze(raw: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw, n * size, "zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def squeeze_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys, as their differences."""
+    return _squeeze(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unsqueeze_keys(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unsqueeze(raw, n, np.uint64), dtype=np.uint64)
+
+
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys, the place of each key among them). Upper bits and places are sorted as one number."""
+    n = len(keys)
+    bits = np.uint64(max(1, (n - 1).bit_length()))
+    order = (keys >> bits << bits) | np.arange(n, dtype=np.uint64)
+    order.sort()
+    order &= (np.uint64(1) << bits) - np.uint64(1)
+    order = order.astype(np.int64)
+    s = keys[order]
+    wrong = np.flatnonzero(s[1:] < s[:-1])
+    if len(wrong):  # keys that agree in the upper bits
+        upper = s >> bits
+        for u in np.unique(upper[wrong]):
+            lo, hi = np.searchsorted(upper, u, "left"), np.searchsorted(upper, u, "right")
+            order[lo:hi] = order[lo:hi][np.argsort(keys[order[lo:hi]], kind="stable")]
+        s = keys[order]
+    new = np.ones(n, bool)
+    new[1:] = s[1:] != s[:-1]
+    code = np.empty(n, np.int32)
+    code[order] = np.cumsum(new, dtype=np.int32) - 1
+    return s[new], code
+
+
+def _chunks(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents -> chunks: names (hashes of distinct words), codes (of tokens), and the documents' ids, folds and lengths."""
+        claim("suffixtree")
+        context = TaskContext.get()
+        number = (context.partitionId() if context else 0) << 32
+        held: list[np.ndarray] = []
+        docs: dict[str, list] = {"ids": [], "held_out": [], "learn": [], "lengths": []}
+        size, id_type = 0, None
+
+        def chunk() -> pa.RecordBatch:
+            names, codes = ranked(np.concatenate(held))
+            columns = {
+                "chunk": pa.array([number], pa.int64()), "tokens": pa.array([len(codes)], pa.int64()), "distinct": pa.array([len(names)], pa.int64()), "names": pa.array([squeeze_keys(names)], pa.binary()),
+                "codes": pa.array([_squeeze(codes)], pa.binary()), "ids": pa.array([docs["ids"]], pa.list_(id_type)), "held_out": pa.array([docs["held_out"]], pa.list_(pa.bool_())),
+                "learn": pa.array([docs["learn"]], pa.list_(pa.bool_())), "lengths": pa.array([docs["lengths"]], pa.list_(pa.int64())),
+            }
+            return pa.RecordBatch.from_pydict(columns)
 
-def tokens(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(distinct words, codes of all words joined, each text's first word with an end mark)."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
-    words = split.values.dictionary_encode()
-    real = pc.not_equal(words.dictionary, "").to_numpy(zero_copy_only=False).astype(bool)
-    codes = words.indices.to_numpy()
-    keep = real[codes] if len(real) else np.zeros(0, bool)
-    before = np.concatenate([[0], np.cumsum(keep)])
-    return words.dictionary, codes[keep], before[split.offsets.to_numpy()]
+        for b in batches:
+            id_type = b.column("doc_id").type
+            ids, held_out, learn = (b.column(c).to_pylist() for c in ("doc_id", "held_out", "learn"))
+            for lo, part in slices(b.column("__text").to_pylist()):
+                words, first = word_hashes(part)
+                lengths = np.diff(first) + 1
+                ends = np.cumsum(lengths)
+                x = np.full(int(ends[-1]), END, np.uint64)
+                inner = np.ones(len(x), bool)
+                inner[ends - 1] = False
+                x[inner] = words
+                at = 0
+                for i, (n, end) in enumerate(zip(lengths.tolist(), ends.tolist(), strict=True)):
+                    docs["ids"].append(ids[lo + i])
+                    docs["held_out"].append(held_out[lo + i])
+                    docs["learn"].append(learn[lo + i])
+                    docs["lengths"].append(n)
+                    size += n
+                    if size >= CHUNK:
+                        held.append(x[at:end])
+                        yield chunk()
+                        number += 1
+                        held, size, at = [], 0, end
+                        docs = {k: [] for k in docs}
+                held.append(x[at:])
+        if size:
+            yield chunk()
+
+    return run, f"chunk long, tokens long, distinct long, names binary, codes binary, ids array<{kind}>, held_out array<boolean>, learn array<boolean>, lengths array<long>"
+
+
+class Chunk:
+    """The tokens of a chunk and what is known of them by the answers so far."""
+
+    def __init__(self, row: dict, answers: dict[int, np.ndarray]):
+        """answers: round -> numbers in the order of the keys that were asked."""
+        self.answers = answers
+        self.names, self.codes = unsqueeze_keys(row["names"], row["distinct"]), _unsqueeze(row["codes"], row["tokens"], np.int32)
+        lengths = np.array(row["lengths"], np.int64)
+        self.starts = np.cumsum(lengths) - lengths
+        self.place = (np.arange(len(self.codes)) - np.repeat(self.starts, lengths)).clip(0, ORDER).astype(np.int8)  # that many tokens before it are its document's
+        self.learn = np.repeat(np.array(row["learn"], bool), lengths)
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, counts in training) of the chunk's words."""
+        return self.names, np.bincount(self.codes, self.learn, len(self.names)).astype(np.int64)
+
+    def _earlier(self, x: np.ndarray, k: int = 1) -> np.ndarray:
+        """What is k tokens before, 0 at the chunk's start."""
+        out = np.zeros_like(x)
+        out[k:] = x[:-k]
+        return out
+
+    def grams(self, upto: int, keep: bool = False) -> Iterator[tuple[int, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
+        """For the rounds 1..upto: (o, which tokens ask how often they follow the o tokens before, (keys, places of the tokens' keys)).
+
+        ``n[o]`` gets the answers as far as they are there: how often the last o + 1 tokens occur together;
+        ``asked[o]`` keeps what is yielded, if asked for.
+        """
+        self.c = self.answers[0][self.codes]
+        self.n, self.asked = [self.c], [None]
+        word = key = self.names[self.codes]
+        for step in STEPS:
+            known = step[0] - 1
+            if known >= upto:
+                return
+            # n is at most the count of the shorter ending: it is known if that is 0, and if that is 1 and it occurs here.
+            ending, often = self.n[known], self.n[known] >= LEAST
+            unclear = (ending >= 2) | ((ending == 1) & ~self.learn)
+            for o in step:
+                if o > upto:
+                    return
+                key = _mix((self._earlier(key) + np.uint64(o)) * _K + word)
+                # All parts of the context that are known have to occur LEAST times.
+                ok = self.place >= o
+                for back in range(1, o - known + 1):
+                    ok &= self._earlier(often, back)
+                ask = np.flatnonzero(ok & unclear).astype(np.int32)
+                keys = ranked(key[ask])
+                if o in self.answers:
+                    n = (ok & (ending == 1) & self.learn).astype(self.answers[o].dtype)
+                    n[ask] = self.answers[o][keys[1]]
+                    self.n.append(n)
+                self.asked.append((ask, keys) if keep else None)
+                if o > 1:
+                    self.asked[o - 2] = None
+                yield o, ask, keys
+
+    def contexts(self, o: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens whose context of o tokens occurs LEAST times, c of these contexts, places of their keys, keys).
+
+        To be called when ``grams`` has come to o and keeps what it yields.
+        """
+        before = self.n[o - 1]
+        at = np.flatnonzero((self.place >= o) & (self._earlier(before) >= LEAST))
+        if o == 1:
+            return at, before[at - 1], self.codes[at - 1], self.names
+        ask, (keys, own) = self.asked[o - 1]
+        codes = np.full(len(self.codes), -1, np.int32)
+        codes[ask] = own
+        return at, before[at - 1], codes[at - 1], keys
+
+    def gains(self, o: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, what the contexts of o tokens add to the log likelihood of this chunk)."""
+        at, c, code, keys = self.contexts(o)
+        shorter = (self.c[at] + 1.0) / whole
+        if o > 1:
+            shorter = (np.maximum(self.n[o - 1][at] - 1, 0) + WEIGHT * shorter) / (self.n[o - 2][at - 1] - 1 + WEIGHT)
+        gain = np.log((np.maximum(self.n[o][at] - 1, 0) + WEIGHT * shorter) / (c - 1 + WEIGHT) / shorter)
+        learn = self.learn[at]
+        there = np.flatnonzero(np.bincount(code, minlength=len(keys)))
+        return keys[there], np.bincount(code[learn], gain[learn], len(keys))[there]
+
+    def score(self, whole: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each document: known tokens, log10 of the base, log10 of the model."""
+        add = lambda x: np.add.reduceat(x, self.starts)
+        p = (self.answers[0][self.codes] + 1.0) / whole
+        base = add(np.log10(p))
+        for o, _, _ in self.grams(ORDER, keep=True):
+            at, c, code, keys = self.contexts(o)
+            kept = np.zeros(len(keys), bool)
+            kept[np.flatnonzero(np.bincount(code, minlength=len(keys)))] = self.answers[GAIN + o] > 0
+            kept = kept[code]
+            at, c = at[kept], c[kept]
+            p[at] = (self.n[o][at] + WEIGHT * p[at]) / (c + WEIGHT)
+        return add((self.c > 0).astype(np.int64)), base, add(np.log10(p))
+
+
+def _ask(chunk: int, number: int, bits: int, keys: np.ndarray, numbers: np.ndarray) -> Iterator[tuple]:
+    """Rows of ASKED, one for each bucket that has some of the (sorted) keys."""
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+    for lo, hi in zip(edges, [*edges, len(keys)][1:], strict=True):
+        yield int(bucket[lo]), number, chunk, hi - lo, squeeze_keys(keys[lo:hi]), _squeeze(numbers[lo:hi])
+
+
+def _rows(rows: list[tuple], types: list[pa.DataType], names: str) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in names.split(", ")])
+
+
+def _asking(bits: int, done: list[int], wanted: Callable[[Chunk], Iterator[tuple[int, np.ndarray, np.ndarray]]]):
+    """Chunk rows with their answers -> rows of ASKED."""
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("suffixtree")
+        for row, chunk in _opened(batches, done):
+            for number, keys, numbers in wanted(chunk):
+                yield _rows(list(_ask(row["chunk"], number, bits, keys, numbers)), types, ASKED)
+                del keys, numbers
+            del row, chunk
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
-    docs = 0
+    return run
 
-    def passed() -> pa.RecordBatch:
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, held), np.uint64, len(held)).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(h), pa.array(list(held.values()), pa.int64())], names=["word", "h", "n"])
 
+def _opened(batches: Iterator[pa.RecordBatch], done: list[int]) -> Iterator[tuple[dict, Chunk]]:
+    """done: the rounds that are over; a chunk that had no key in one has an empty answer to it."""
     for b in batches:
-        docs += b.num_rows
-        for _, part in slices(b.column("__text").to_pylist()):
-            words, codes, _ = tokens(part)
-            n = np.bincount(codes, minlength=len(words))
-            at = np.flatnonzero(n)
-            for w, c in zip(words.take(pa.array(at)).to_pylist(), n[at].tolist(), strict=True):
-                held[w] += c
-            if len(held) > HELD:
-                yield passed()
-                held = Counter()
-    held[END] += docs
-    yield passed()
-
-
-class Pairs:
-    """States in one process, as the tree's table has them: stored counts c(s, x) under context number * width + token number, with c(s), b(s) and m(s)."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, width: int, totals: np.ndarray):
-        """totals: c(s) of every context number."""
-        by = np.argsort(keys)
-        self.keys, self.counts, self.width, self.totals = keys[by], counts[by], width, totals
-        self.context, first, self.kinds = np.unique(self.keys // width, return_index=True, return_counts=True)
-        stored = np.add.reduceat(self.counts, first) if len(first) else np.zeros(0, np.int64)
-        self.total = totals[self.context]
-        self.rest = np.maximum(self.total - stored, 0)
-        self.back = self.rest + self.kinds
-
-    def find(self, context: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(c(s, x) / (c(s) + m(s)), b(s) / (c(s) + m(s))); 0 and 1 where the context isn't kept or is negative."""
-        if not len(self.keys):
-            return np.zeros(len(context)), np.ones(len(context))
-        at = np.minimum(np.searchsorted(self.context, context), len(self.context) - 1)
-        ok = self.context[at] == context
-        key = context * self.width + token
-        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        hit = ok & (token >= 0) & (self.keys[k] == key)
-        whole = self.total[at] + self.kinds[at]
-        return np.where(hit, self.counts[k] / whole, 0.0), np.where(ok, self.back[at] / whole, 1.0)
-
-    def diverging(self, shorter: np.ndarray) -> Pairs:
-        """Only the contexts that add enough; shorter: P(x | suffix) for each of keys."""
-        if not len(self.keys):
-            return self
-        at = np.searchsorted(self.context, self.keys // self.width)
-        whole = (self.total + self.kinds).astype(np.float64)
-        own = (self.counts + self.back[at] * shorter) / whole[at]
-        gain = self.rest * np.log(self.back / whole)
-        np.add.at(gain, at, self.counts * np.log(own / shorter))
-        keep = (gain >= DIVERGENCE * self.kinds)[at]
-        return Pairs(self.keys[keep], self.counts[keep], self.width, self.totals)
-
-
-class SuffixTree:
-    """The root, and for a tree in one process the states of one and two tokens."""
-
-    def __init__(self, words: list[str], counts: np.ndarray, total: int, distinct: int):
-        self.number = {w: i for i, w in enumerate(words)}
-        self.counts, self.width = counts, len(words)
-        self.whole = total + distinct + 1
-        none = np.zeros(0, np.int64)
-        self.one = self.two = Pairs(none, none, max(1, self.width), none)
-        self.seconds = none  # contexts of two tokens, as first * width + second
-
-    def sequence(self, words: pa.Array, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Token numbers with each text's end, the place of each text's first token, and names of distinct words."""
-        names = words.to_pylist()
-        numbers = np.fromiter((self.number.get(w, -1 - i) for i, w in enumerate(names)), np.int64, len(names))
-        texts = len(first) - 1
-        starts = first + np.arange(texts + 1)
-        out = np.full(int(starts[-1]), self.number[END], np.int64)
-        inner = np.ones(len(out), bool)
-        inner[starts[1:] - 1] = False
-        out[inner] = numbers[codes]
-        return out, starts, names
-
-    def contexts(self, x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The token before and the pair of tokens before, -1 where unknown or before the text's start."""
-        before = np.concatenate([[-1], x[:-1]])
-        before[starts[:-1]] = -1
-        before = np.maximum(before, -1)
-        earlier = np.concatenate([[-1], before[:-1]])
-        earlier[starts[:-1]] = -1
-        pair = np.where((before >= 0) & (earlier >= 0), earlier * self.width + before, -1)
-        return before, pair
-
-    def pair_number(self, pair: np.ndarray) -> np.ndarray:
-        if not len(self.seconds):
-            return np.full(len(pair), -1)
-        at = np.minimum(np.searchsorted(self.seconds, pair), len(self.seconds) - 1)
-        return np.where(self.seconds[at] == pair, at, -1)
-
-    def root(self, x: np.ndarray) -> np.ndarray:
-        """The root's probability; for tokens without a number the part that doesn't depend on their count."""
-        return np.where(x >= 0, self.counts[np.maximum(x, 0)] + 1.0, 1.0) / self.whole
-
-    def factors(self, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """P of each token; of those without a number, P over (count + 1)."""
-        before, pair = self.contexts(x, starts)
-        p = self.root(x)
-        for table, context in ((self.one, before), (self.two, self.pair_number(pair))):
-            own, back = table.find(context, x)
-            p = own + back * p
-        return p
-
-
-def hashed(words: pa.Array, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all tokens with each text's end, the place of each text's first token)."""
-    names = words.to_pylist()
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
-    starts = first + np.arange(len(first))
-    out = np.full(int(starts[-1]), xxhash.xxh3_64_intdigest(END), np.uint64)
-    inner = np.ones(len(out), bool)
-    inner[starts[1:] - 1] = False
-    out[inner] = h[codes]
-    return out, starts
-
-
-def _in_context(x: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(tokens of the context, places of the tokens that have one, contexts) for one and two tokens before."""
-    place = np.arange(len(x)) - np.repeat(starts[:-1], np.diff(starts))
-    at = np.flatnonzero(place >= 1)
-    yield 1, at, x[at - 1]
-    at = np.flatnonzero(place >= 2)
-    a = x[at - 2]
-    yield 2, at, (a << np.uint64(17) | a >> np.uint64(47)) ^ x[at - 1]
-
-
-def _longer(first: Column, second: Column) -> Column:
-    """The context of two tokens, as _in_context has it."""
-    return F.shiftleft(first, 17).bitwiseOR(F.shiftrightunsigned(first, 47)).bitwiseXOR(second)
-
-
-def _distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows and how often each occurs."""
-    by = np.lexsort(columns[::-1])
-    columns = [c[by] for c in columns]
-    new = np.ones(len(by), bool)
-    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    at = np.flatnonzero(new)
-    return [c[at] for c in columns], np.diff(np.append(at, len(by)))
-
-
-def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(o, c, x, n): how often x follows the context c of o tokens."""
-    held: dict[int, list] = {1: [], 2: []}
-    size = 0
-
-    def passed() -> Iterator[pa.RecordBatch]:
-        for o, parts in held.items():
-            (c, x), n = _distinct(*(np.concatenate(p) for p in zip(*parts, strict=True)))
-            parts.clear()
-            for lo in range(0, len(n), 500_000):
-                hi = lo + 500_000
-                k = len(n[lo:hi])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, o, np.int8)), pa.array(c[lo:hi].view(np.int64)), pa.array(x[lo:hi].view(np.int64)), pa.array(n[lo:hi].astype(np.int64))], names=["o", "c", "x", "n"])
+        for k in range(b.num_rows):
+            row = b.slice(k, 1).to_pylist()[0]
+            parts: dict[int, list] = {r: [np.zeros(0, np.int8 if r > GAIN else np.int32)] for r in done}
+            for a in sorted(row.pop("answers", None) or (), key=lambda a: (a["round"], a["bucket"])):
+                x = _unsqueeze(a["numbers"], a["n"], _kind(a["round"]))
+                parts[a["round"]].append(x.astype(np.int32) if x.itemsize == 8 and x.max() < 2**31 else x)
+            chunk = Chunk(row, {r: np.concatenate(x) for r, x in parts.items()})
+            del parts
+            yield row, chunk
+            del row, chunk
+
+
+def _kind(number: int) -> type:
+    """Answers are counts, or whether a context is retained."""
+    return np.int8 if number > GAIN else np.int64
+
+
+def _answering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ASKED, sorted by bucket and round -> rows of ANSWERED; one bucket of a round is held at a time."""
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+    held: list[tuple] = []
+    at = None
+
+    def close() -> Iterator[pa.RecordBatch]:
+        bucket, number = at
+        gain = number > GAIN
+        sizes = [n for _, n, _, _ in held]
+        _, code = ranked(np.concatenate([unsqueeze_keys(k, n) for _, n, k, _ in held]))
+        numbers = np.concatenate([_unsqueeze(x, n, np.float32 if gain else np.int64) for _, n, _, x in held])
+        total = np.bincount(code, numbers)
+        total = (total > DIVERGENCE).astype(np.int8) if gain else total.astype(np.int64)
+        ends = np.cumsum(sizes).tolist()
+        rows = []
+        for (chunk, n, _, _), end in zip(held, ends, strict=True):
+            rows.append((chunk, number, bucket, n, _squeeze(total[code[end - n : end]]), None, None))
+        # What the bucket has in all: tokens and distinct keys, or retained contexts.
+        rows.append((None, number, bucket, None, None, int(total.sum()), int((total > 0).sum())))
+        yield _rows(rows, types, ANSWERED)
 
     for b in batches:
-        for _, part in slices(b.column("__text").to_pylist()):
-            x, starts = hashed(*tokens(part))
-            for o, at, c in _in_context(x, starts):
-                held[o].append((c, x[at]))
-            size += len(x)
-            if size > 3_000_000:
-                yield from passed()
-                size = 0
-    if size:
-        yield from passed()
-
-
-def _states(pairs: DataFrame, totals: DataFrame, store: Staging) -> tuple[DataFrame, DataFrame]:
-    """(kept contexts: c, back, whole, lb; their pairs: c, x, p, d); pairs: c, x, n, q = P(x | suffix); totals: c, total."""
-    contexts = pairs.groupBy("c").agg(F.count("*").alias("kinds"), F.sum("n").alias("stored")).join(totals, "c")
-    rest = F.greatest(F.col("total") - F.col("stored"), F.lit(0))
-    contexts = store.put(contexts.select("c", "kinds", rest.alias("rest"), (rest + F.col("kinds")).cast("double").alias("back"), (F.col("total") + F.col("kinds")).cast("double").alias("whole")))
-    own = pairs.join(contexts, "c").withColumn("p", (F.col("n") + F.col("back") * F.col("q")) / F.col("whole"))
-    own = store.put(own.select("c", "x", "n", "q", "p"))
-    gain = own.groupBy("c").agg(F.sum(F.col("n") * F.log(F.col("p") / F.col("q"))).alias("gain"))
-    kept = contexts.join(gain, "c").filter(F.col("gain") + F.col("rest") * F.log(F.col("back") / F.col("whole")) >= DIVERGENCE * F.col("kinds"))
-    kept = store.put(kept.select("c", "back", "whole", F.log10(F.col("back") / F.col("whole")).alias("lb")))
-    return kept, store.put(own.join(kept, "c").select("c", "x", "p", (F.log10(F.col("p") / F.col("q")) - F.col("lb")).alias("d")))
-
-
-def grow(docs: DataFrame, vocabulary: DataFrame, whole: int, store: Staging) -> tuple[DataFrame, DataFrame]:
-    """(kept contexts: c, lb; their pairs: c, x, d); docs: (__text) of the training documents."""
-    counts = docs.mapInArrow(_pair_counts, "o byte, c long, x long, n long").groupBy("o", "c", "x").agg(F.sum("n").alias("n"))
-    counts = store.put(counts.filter(F.col("n") >= LEAST))
-    words = vocabulary.groupBy(F.col("h").alias("x")).agg(F.sum("n").alias("total"))
-    root = words.select("x", ((F.col("total") + 1) / F.lit(float(whole))).alias("root"))
-    one = counts.filter("o = 1").drop("o")
-    kept1, pairs1 = _states(one.join(root, "x").withColumnRenamed("root", "q"), words.withColumnRenamed("x", "c"), store)
-    # A context of two tokens occurs as often as the second follows the first: at least as often as any pair of it.
-    pair = one.select(_longer(F.col("c"), F.col("x")).alias("c"), F.col("x").alias("s"), F.col("n").alias("total"))
-    two = counts.filter("o = 2").drop("o").join(pair.select("c", "s"), "c").join(root, "x")
-    two = two.join(kept1.select(F.col("c").alias("s"), (F.col("back") / F.col("whole")).alias("b")), "s", "left")
-    two = two.join(pairs1.select(F.col("c").alias("s"), "x", "p"), ["s", "x"], "left")
-    two = store.put(two.select("c", "x", "n", F.coalesce("p", F.coalesce("b", F.lit(1.0)) * F.col("root")).alias("q")))
-    kept2, pairs2 = _states(two, pair.select("c", "total"), store)
-    return kept1.union(kept2).select("c", "lb"), pairs1.union(pairs2).select("c", "x", "d")
-
-
-def train(docs: DataFrame, store: Staging) -> tuple[SuffixTree, DataFrame]:
-    """(model with the root alone, staged counts of all words); docs: (__text) of the training documents."""
-    vocabulary = store.put(docs.mapInArrow(_word_counts, "word string, h long, n long").groupBy("word", "h").agg(F.sum("n").alias("n")).filter("n > 0"))
-    total, distinct = vocabulary.agg(F.sum("n"), F.count("*")).first()
-    total = total or 0
-    least = max(2, int(total * WORD_SHARE))
-    known = vocabulary.filter((F.col("n") >= least) | (F.col("word") == END)).toArrow()
-    rows = sorted(zip(known.column("word").to_pylist(), known.column("n").to_pylist(), strict=True), key=lambda r: (-r[1], r[0]))
-    rows = rows if any(w == END for w, _ in rows) else [*rows, (END, 0)]
-    return SuffixTree([w for w, _ in rows], np.array([n for _, n in rows], np.int64), total, distinct), vocabulary
-
-
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(__key, c, x): each token of a document with each of its contexts."""
-    for b in batches:
-        for lo, part in slices(b.column("__text").to_pylist()):
-            x, starts = hashed(*tokens(part))
-            key = np.repeat(b.column("__key").slice(lo, len(part)).to_numpy(), np.diff(starts))
-            for _, at, c in _in_context(x, starts):
-                for k in range(0, len(at), 200_000):
-                    few = at[k : k + 200_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[few]), pa.array(c[k : k + 200_000].view(np.int64)), pa.array(x[few].view(np.int64))], names=["__key", "c", "x"])
+        for bucket, number, chunk, n, keys, numbers in zip(*(b.column(c).to_pylist() for c in ("bucket", "round", "chunk", "n", "keys", "numbers")), strict=True):
+            if (bucket, number) != at:
+                if held:
+                    yield from close()
+                at, held = (bucket, number), []
+            held.append((chunk, n, keys, numbers))
+    if held:
+        yield from close()
 
 
-def _scored(model):
+def _word_round(chunk: Chunk) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    yield 0, *chunk.words()
+
+
+def _round(step: tuple[int, ...], tested: tuple[int, ...], whole: int):
+    """Asks for the contexts of ``step`` with their next tokens and for the divergence of the contexts of ``tested``."""
+
+    def wanted(chunk: Chunk) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for o, ask, (keys, code) in chunk.grams(max(*step, *tested, 0), keep=bool(tested)):
+            if o in step:
+                yield o, keys, np.bincount(code, chunk.learn[ask], len(keys)).astype(np.int64)
+            if o in tested:
+                keys, gains = chunk.gains(o, whole)
+                # 12 binary digits, so that the others compress to nothing.
+                yield GAIN + o, keys, (gains.astype(np.float32).view(np.int32) & ~0x7FF).view(np.float32)
+
+    return wanted
+
+
+def _scoring(whole: int, total: int, done: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        logs = np.log10(m.counts + 1.0)
+        claim("suffixtree")
         for b in batches:
-            for lo, part in slices(b.column("__text").to_pylist()):
-                x, starts, names = m.sequence(*tokens(part))
-                at = starts[:-1]
-                p = np.add.reduceat(np.log10(m.factors(x, starts)), at)
-                counted = np.where(x >= 0, logs[np.maximum(x, 0)], 0.0)
-                known = np.add.reduceat((x >= 0).astype(np.int64), at)
-                rare = x < 0
-                owner = np.repeat(np.arange(len(part)), np.diff(starts))[rare]
-                word, n = np.unique(owner * len(names) + (-1 - x[rare]), return_counts=True)
-                own = word // max(1, len(names))
-                offsets = np.searchsorted(own, np.arange(len(part) + 1)).astype(np.int32)
-                values = pa.StructArray.from_arrays([pa.array([names[i] for i in (word % max(1, len(names))).tolist()], pa.string()), pa.array(n.astype(np.int64))], names=["w", "n"])
-                s = b.slice(lo, len(part))
+            for k in range(b.num_rows):
+                one = b.slice(k, 1)
+                ((row, chunk),) = _opened(iter([one]), done)
+                known, base, score = chunk.score(whole)
                 yield pa.RecordBatch.from_arrays(
-                    [s.column("__row"), s.column("__key"), s.column("doc_id"), s.column("held_out"), pa.array(np.diff(starts)), pa.array(known), pa.array(np.add.reduceat(counted, at)), pa.array(p), pa.ListArray.from_arrays(pa.array(offsets), values)],
-                    names=["__row", "__key", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare"],
+                    [one.column("ids").flatten(), pa.array(row["held_out"], pa.bool_()), pa.array(row["lengths"], pa.int64()), pa.array(known), pa.array(np.full(len(known), total, np.int64)), pa.array(base), pa.array(score)],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
+                del row, chunk, one
 
     return run
 
@@ -319,35 +370,38 @@ def score_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Null text counts as empty: its only token is the end. A null doc_id is neither held out nor learned from.
     Repeated rows are learned from and scored as often as they occur; other columns are ignored. With nothing to
-    learn from, all counts are 0.
+    learn from, all counts are 0. An empty table gives no rows.
     """
     store = Staging(spark, "suffixtree")
-    text = F.coalesce(F.col("text"), F.lit("")).alias("__text")
-    learned = docs.filter(learned_from(F.col("doc_id"), 7, 2)).select(text)
-    model, vocabulary = train(learned, store)
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    sent = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False)).alias("held_out"), F.xxhash64(text).alias("__key"), text)
-    fields = f"__row long, __key long, doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<w: string, n: long>>"
-    scored = store.put(rows.mapInArrow(_scored(sent), fields))
-    rare = scored.select("__row", F.explode("rare").alias("r")).select("__row", F.col("r.w").alias("word"), F.col("r.n").alias("times"))
-    least = max(2, int(total * WORD_SHARE))
-    met = rare.join(vocabulary.filter(F.col("n") < least), "word").groupBy("__row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("also"))
-    unit = float(np.log10(total + distinct + 1))
-    if total == 0:  # the end isn't known either
-        scored = scored.withColumn("known", F.lit(0).cast("long"))
-    contexts, pairs = grow(learned, vocabulary, total + distinct + 1, store)
-    # What the tree adds depends on the text alone; equal texts are listed together and share it.
-    listed = docs.select(F.xxhash64(text).alias("__key"), text).mapInArrow(_listed, "__key long, c long, x long")
-    terms = listed.join(contexts, "c").join(pairs, ["c", "x"], "left").groupBy("__key").agg(F.sum(F.col("lb") + F.coalesce("d", F.lit(0.0))).alias("terms"))
-    terms = terms.join(scored.groupBy("__key").agg(F.count("*").alias("copies")), "__key").select("__key", (F.col("terms") / F.col("copies")).alias("in_tree"))
-    out = scored.drop("rare").join(met, "__row", "left").join(terms, "__key", "left")
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(unit)).alias("base_score"),
-        (F.col("score") + F.coalesce("more", F.lit(0.0)) + F.coalesce("in_tree", F.lit(0.0))).alias("score"),
-    )
+    kind = dict(docs.dtypes)["doc_id"]
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text")
+    rows = docs.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False)).alias("held_out"), learned_from(F.col("doc_id"), 7, 2).alias("learn"), text)
+    run, fields = _chunks(kind)
+    chunks = store.put(rows.mapInArrow(run, fields))
+    tokens = chunks.agg(F.sum("tokens")).first()[0] or 0
+    bits = min(30, max(LEAST_BITS, math.ceil(math.log2(max(1, tokens) / BUCKET_KEYS))))
+    answers: list[DataFrame] = []
+    done: list[int] = []
+
+    def known() -> DataFrame:
+        """Chunks with all answers so far: a chunk's answers are a few bytes for each of its keys."""
+        if not answers:
+            return chunks
+        every = answers[0]
+        for a in answers[1:]:
+            every = every.unionByName(a)
+        own = every.filter("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("round", "bucket", "n", "numbers")).alias("answers"))
+        return chunks.join(own, "chunk")
+
+    def ask(rounds: list[int], wanted: Callable) -> None:
+        asked = known().mapInArrow(_asking(bits, list(done), wanted), ASKED)
+        done.extend(rounds)
+        answers.append(store.put(asked.repartition("bucket").sortWithinPartitions("bucket", "round").mapInArrow(_answering, ANSWERED)))
+
+    ask([0], _word_round)
+    total, distinct = answers[0].agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    whole = total + distinct + 1
+    # The contexts of a step are tested in the round after it, together with the next step.
+    for step, tested in zip([*STEPS, ()], [(), *STEPS], strict=True):
+        ask([*step, *(GAIN + o for o in tested)], _round(step, tested, whole))
+    return known().mapInArrow(_scoring(whole, total, done), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

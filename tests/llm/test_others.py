@@ -80,6 +80,15 @@ def test_components(spark):
     assert joins.components(spark.createDataFrame([], "a long, b long"), Staging(spark, "t")).count() == 0
 
 
+def test_components_of_a_star(spark, monkeypatch):
+    """A node that has a third of all links and more."""
+    monkeypatch.setattr(joins, "HOT_NODE", 500)
+    monkeypatch.setattr(joins, "HOT_ROWS", 3)
+    edges = [(0, i) for i in range(1, 1500)] + [(i, i + 1) for i in range(5000, 5100)] + [(1499, 5000)] + [(9000, 9001)]
+    got = {r["node"]: r["component"] for r in joins.components(spark.createDataFrame(edges, "a long, b long"), Staging(spark, "t")).collect()}
+    assert got == {i: 0 for i in [*range(1500), *range(5000, 5101)]} | {9000: 9000, 9001: 9000}
+
+
 RECORDS = "record_id string, warc_type string, url string, at long, headers map<string,string>, payload binary, digest string"
 
 

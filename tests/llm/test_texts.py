@@ -229,26 +229,92 @@ def test_merge_over_many_runs(spark):
         assert (r["keep_id"], r["group_size"], r["kept"]) == (same_text[0], len(same_text), same_text[0] == r["doc_id"])
 
 
-def brute_groups(rows, k, num, den):
-    sets, parent = {}, {}
+@pytest.mark.parametrize("rows", [
+    [(0, "beta"), (1, "alpha"), (1, "beta")], [(3, "u"), (3, "u ")], [(1, "B"), (5, "A"), (5, "B")], [(None, "x"), (None, "x"), (2, "x")], [(None, "y"), (None, "y")],
+    [(1, "a  b"), (1, "a b"), (1, "c"), (1, None), (1, "")], [(9, None), (4, ""), (4, "z"), (9, "z")],
+])
+def test_rows_that_share_an_id(spark, rows):
+    """Of each text one row stays, whatever else its id has."""
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n long")
+    norm = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t or "")
+    least = {}
     for i, t in rows:
+        least[norm(t)] = min((x for x in (i, least.get(norm(t))) if x is not None), default=None)
+    got = [(r["doc_id"], norm(r["text"])) for r in exact_dedup.drop_exact(docs).collect()]
+    assert sorted(got, key=str) == sorted(((i, t) for t, i in least.items()), key=str)
+    by_row = [r["n"] for r in exact_dedup.drop_exact(docs).collect()]
+    assert len(by_row) == len(set(by_row))
+
+
+def test_runs_are_sorted_and_merged(spark):
+    plan = exact_dedup.merge_runs(spark.range(100).selectExpr("0 AS __run", "unhex(sha2(cast(id AS string), 256)) AS __sha", "id AS __bytes", "id AS __witness", "id AS __id", "1L AS __n"), 40)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in text and "HashAggregate" not in text and "Python" not in text
+    with pytest.raises(Exception, match="one digest"):
+        exact_dedup.merge_runs(spark.createDataFrame([(0, b"x", 1, 1, 1, 1), (1, b"x", 1, 2, 2, 1)], "__run int, __sha binary, __bytes long, __witness long, __id long, __n long"), 1).collect()
+
+
+def brute_rows(rows, k, num, den):
+    """(set size, smallest id reachable) of every row; rows are the nodes."""
+    sets, parent = [], list(range(len(rows)))
+    for _, t in rows:
         w = words(t)
-        sets.setdefault(i, frozenset(zip(*(w[j:] for j in range(k)))) if len(w) >= k else frozenset([tuple(w)] if w else []))
-        parent[i] = i
+        sets.append(frozenset(zip(*(w[j:] for j in range(k)))) if len(w) >= k else frozenset([tuple(w)] if w else []))
 
     def top(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    ids = sorted(sets)
-    for a in range(len(ids)):
+    for a in range(len(rows)):
         for b in range(a):
-            x, y = sets[ids[a]], sets[ids[b]]
-            if x and den * len(x & y) >= num * len(x | y):
-                p, q = top(ids[a]), top(ids[b])
+            x, y = sets[a], sets[b]
+            if x and None not in (rows[a][0], rows[b][0]) and den * len(x & y) >= num * len(x | y):
+                p, q = top(a), top(b)
                 parent[max(p, q)] = min(p, q)
-    return {i: (len(sets[i]), top(i)) for i in ids}
+    least = {}
+    for r, (i, _) in enumerate(rows):
+        least[top(r)] = min((x for x in (i, least.get(top(r))) if x is not None), default=None)
+    return [(len(sets[r]), least[top(r)]) for r in range(len(rows))]
+
+
+def brute_groups(rows, k, num, den):
+    return {i: x for (i, _), x in zip(rows, brute_rows(rows, k, num, den))}
+
+
+SHARED = prose(31, 40)
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, "B " + SHARED), (5, "A a a a"), (5, "B " + SHARED)], [(1, "A x y z"), (5, "A x y z"), (3, "B x y w"), (5, "B x y w")], [(2, "a b c"), (2, "a b c"), (2, "q r s"), (None, "a b c"), (None, "a b c"), (7, None), (7, ""), (7, None)],
+    [(1, SHARED + " end"), (5, SHARED), (3, "else " + prose(40, 30)), (5, "else " + prose(40, 30) + " x"), (5, "third one is here")],
+])
+def test_similar_rows_that_share_an_id(spark, rows):
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, component long")
+    want = brute_rows(rows, 3, 9, 10)
+    got = ngram_join.jaccard_groups(docs, 3, 9, 10).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == sorted((str(i), n, str(c)) for (i, _), (n, c) in zip(rows, want))
+    kept = [r["component"] for r in ngram_join.drop_similar(docs, 3, 9, 10).collect()]
+    alone = [k for k, ((i, _), (n, _)) in enumerate(zip(rows, want)) if i is None or n == 0]
+    assert set(alone) <= set(kept) and len(kept) == len(set(kept))
+    # One row of every group, and it has the group's id.
+    groups = {}
+    nodes = brute_rows([(k, t) if i is not None else (None, t) for k, (i, t) in enumerate(rows)], 3, 9, 10)
+    for k in set(range(len(rows))) - set(alone):
+        groups.setdefault(nodes[k][1], []).append(k)
+    for members in groups.values():
+        (stays,) = [k for k in kept if k in members]
+        assert rows[stays][0] == min(rows[k][0] for k in members)
+
+
+@pytest.mark.parametrize("num, den", [(1, 50), (1, 1), (1, 3)])
+def test_extreme_thresholds(spark, monkeypatch, num, den):
+    monkeypatch.setattr(ngram_join, "GROUP_DOCS", 7)
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", (3, 5))
+    rng = random.Random(den)
+    rows = [(k, prose(rng.randrange(6), rng.choice([1, 3, 45, 46, 90])) + rng.choice(["", " xq", " zz vv"])) for k in range(70)]
+    got = ngram_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, num, den).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_groups(rows, 3, num, den)
 
 
 @pytest.mark.parametrize("k, num, den", [(3, 90, 100), (5, 4, 5)])
@@ -280,6 +346,7 @@ def test_similar_edges(spark, odd, nothing):
 
 def test_blocks_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "GROUP_DOCS", 7)
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", (4, 6))
     rng = random.Random(2)
     base = prose(77, 150).split()
     rows = []
@@ -423,55 +490,68 @@ def test_language_model(spark, odd, nothing):
     assert suffix_tree_lm.score_texts(spark, nothing).count() == 0
 
 
-def brute_tree(texts):
-    """A tree in one process with every pair and triple that occurs twice, however small its share."""
-    seen = [[*words(t), "\n"] for t in texts]
-    counts = collections.Counter(w for t in seen for w in t)
-    m = suffix_tree_lm.SuffixTree(list(counts), np.array(list(counts.values())), counts.total(), len(counts))
-    pairs = collections.Counter((m.number[a] * m.width + m.number[b]) for t in seen for a, b in zip(t, t[1:]))
-    triples = collections.Counter((m.number[a] * m.width + m.number[b], m.number[c]) for t in seen for a, b, c in zip(t, t[1:], t[2:]))
-    one = {k: n for k, n in pairs.items() if n >= 2}
-    one = suffix_tree_lm.Pairs(np.array(list(one)), np.array(list(one.values())), m.width, m.counts)
-    m.one = one.diverging(m.root(one.keys % m.width))
-    m.seconds = np.array(sorted(pairs))
-    number = {int(k): i for i, k in enumerate(m.seconds)}
-    two = {number[k] * m.width + x: n for (k, x), n in triples.items() if n >= 2}
-    two = suffix_tree_lm.Pairs(np.array(list(two)), np.array(list(two.values())), m.width, np.array([pairs[k] for k in m.seconds.tolist()]))
-    x = two.keys % m.width
-    own, back = m.one.find(m.seconds[two.keys // m.width] % m.width, x)
-    m.two = two.diverging(own + back * m.root(x))
-    return m
-
-
-def test_tree_has_rare_contexts(spark):
-    """A passage of two documents is known among 40,000 other tokens; with shares its contexts were too rare."""
+def brute_tree(rows, order=4, weight=10.0, divergence=1.0):
+    """(log10 of each row's text, counts, retained contexts) with plain dictionaries."""
+    seqs = [(i is not None and zlib.crc32(str(i).encode()) % 7 != 2, [*words(t), "\n"]) for i, t in rows]
+    grams = collections.Counter(tuple(s[k : k + n]) for learn, s in seqs if learn for n in range(1, order + 2) for k in range(len(s) - n + 1))
+    total, distinct = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+    root = lambda x: (grams[(x,)] + 1) / (total + distinct + 1)
+    gain = collections.Counter()
+    for learn, s in seqs:
+        for k, x in enumerate(s if learn else ()):
+            for o in range(1, min(order, k) + 1):
+                c, n = grams[tuple(s[k - o : k])], grams[tuple(s[k - o : k + 1])]
+                if c >= 2:
+                    shorter = root(x) if o == 1 else (grams[tuple(s[k - o + 1 : k + 1])] - 1 + weight * root(x)) / (grams[tuple(s[k - o + 1 : k])] - 1 + weight)
+                    gain[tuple(s[k - o : k])] += math.log((n - 1 + weight * shorter) / (c - 1 + weight) / shorter)
+    kept = {s for s, g in gain.items() if g > divergence}
+    unsure = {s for s, g in gain.items() if abs(g - divergence) < 1e-4}
+
+    def probability(before, x):
+        p = root(x)
+        for o in range(1, min(order, len(before)) + 1):
+            s = tuple(before[-o:])
+            if s in kept:
+                p = (grams[(*s, x)] + weight * p) / (grams[s] + weight)
+        return p
+
+    return [sum(math.log10(probability(s[:k], x)) for k, x in enumerate(s)) for _, s in seqs], probability, kept, unsure, grams
+
+
+@pytest.mark.parametrize("chunk", [50, 2_500_000])
+def test_tree_against_dictionaries(spark, monkeypatch, chunk):
+    """Passages of two documents among other text, contexts of up to four tokens, many chunks and one."""
+    monkeypatch.setattr(suffix_tree_lm, "CHUNK", chunk)
     passage = " ".join(f"rare{k}" for k in range(30))
-    rows = [(k, prose(k, 400)) for k in range(1, 101)] + [(k, f"{prose(k, 20)} {passage} {prose(k + 1, 20)}") for k in (101, 102, 103, 103)] + [(None, passage), (104, passage[:60])]
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    m = brute_tree([t for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2])
-    assert len(m.two.keys) > 20
-    got = suffix_tree_lm.score_texts(spark, table).collect()
+    rows = [(k, prose(k, 60)) for k in range(1, 41)] + [(k, f"{prose(k, 20)} {passage} {prose(k + 1, 20)}") for k in (101, 102, 103, 103)] + [(None, passage), (104, passage[:60]), (105, "w1 w2 w3 w4 w5 " * 5), (106, "x w2 w3 w4 w5 y " * 3), (107, None), (108, "A a\tA")]
+    want, probability, kept, unsure, grams = brute_tree(rows)
+    assert {len(s) for s in kept} == {1, 2, 3, 4} and not unsure
+    got = suffix_tree_lm.score_texts(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert len(got) == len(rows)
     for r in got:
-        for t in (t for i, t in rows if i == r["doc_id"]):
-            x, starts, _ = m.sequence(*suffix_tree_lm.tokens([t]))
-            assert math.isclose(r["score"], np.log10(m.factors(x, starts)).sum(), rel_tol=1e-9)
+        assert any(i == r["doc_id"] and math.isclose(r["score"], w, rel_tol=1e-9, abs_tol=1e-9) for (i, _), w in zip(rows, want)), r
     (rare,) = [r for r in got if r["doc_id"] is None]
-    assert rare["score"] > 0.5 * rare["base_score"]
-
-
-def test_states_are_distributions():
-    """At every state the probabilities of all tokens and the unknown one add up to 1."""
-    m = suffix_tree_lm.SuffixTree(["\n", "a", "b", "c"], np.array([5, 40, 30, 20]), 95, 4)
-    keys = np.array([1 * 4 + 1, 1 * 4 + 2, 2 * 4 + 3])
-    m.one = suffix_tree_lm.Pairs(keys, np.array([20, 10, 25]), 4, m.counts)
-    m.seconds = np.array([1 * 4 + 2])
-    m.two = suffix_tree_lm.Pairs(np.array([0 * 4 + 3]), np.array([9]), 4, np.array([10]))
-    for before in ([], [1], [2], [1, 2], [3, 1]):
-        p = []
-        for x in (0, 1, 2, 3, -1):
-            p.append(m.factors(np.array([*before, x]), np.array([0, len(before) + 1]))[-1])
-        assert math.isclose(sum(p), 1.0)
+    assert rare["score"] > 0.6 * rare["base_score"]
+    # At every state the probabilities of all tokens and of one unknown token add up to 1.
+    names = [g[0] for g in grams if len(g) == 1]
+    for before in ([], ["w1"], ["w2", "w3"], ["x", "w2", "w3", "w4"], ["rare3", "rare4", "rare5", "rare6"], ["the", "of"]):
+        assert math.isclose(sum(probability(before, x) for x in [*names, "never seen"]), 1.0)
+
+
+def test_tree_gains_over_the_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = [r for r in suffix_tree_lm.score_texts(spark, docs).collect() if r["held_out"]]
+    n = sum(r["n_tokens"] for r in held)
+    assert sum(r["score"] for r in held) / n > sum(r["base_score"] for r in held) / n + 0.1
+
+
+def test_ranked():
+    rng = np.random.default_rng(4)
+    for n, top in ((1, 2**63), (1000, 2**63), (5000, 40), (3000, 2**13)):
+        keys = rng.integers(0, top, n, dtype=np.uint64) << np.uint64(0 if top > 100 else 3)
+        values, code = suffix_tree_lm.ranked(keys)
+        assert (values == np.unique(keys)).all() and (values[code] == keys).all()
+        assert (suffix_tree_lm.unsqueeze_keys(suffix_tree_lm.squeeze_keys(values), len(values)) == values).all()
 
 
 def test_quality(spark, odd, nothing):
