@@ -55,6 +55,7 @@ def test_vectors_in_many_cells_and_blocks(spark, monkeypatch):
     """Small cells and blocks: pairs are counted once, whichever tables they share."""
     monkeypatch.setattr(embedding_dedup, "CELL", 16)
     monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
+    monkeypatch.setattr(embedding_dedup, "QUERIES", 3)
     rng = np.random.default_rng(5)
     centers = rng.standard_normal((12, 64))
     rows = [(i, (centers[i % 12] + 0.04 * rng.standard_normal(64)).tolist()) for i in range(360)]
@@ -175,11 +176,41 @@ def test_no_swallowed_imports(name):
     assert "ImportError" not in open(f"{root}/{name}").read() and "ModuleNotFound" not in open(f"{root}/{name}").read()
 
 
-def test_recall_at_the_threshold(spark):
-    """Over 1,024 vectors, with the constants as they are: pairs just over the threshold are linked, by sign cells too."""
-    for n in (1500, 20_000, 10**7):
+def test_windows_count_collisions():
+    """The counters of bits against counting pair by pair."""
+    rng = np.random.default_rng(3)
+    for n, m, asked in ((70, 130, 20), (1, 5, 1), (2000, 64, 12), (3, 2, 32)):
+        p, q = rng.standard_normal((32, n)), rng.standard_normal((32, m))
+        p[:, :1] = q[:, :1]
+        counts = sum((np.abs(p[j][:, None] - q[j][None, :]) <= 0.8).astype(int) for j in range(32))
+        got = {(lo + a, b) for lo, i, k in embedding_dedup.Windows(q, 0.8).passing(p, asked) for a, b in zip(i.tolist(), k.tolist())}
+        assert got == set(zip(*(x.tolist() for x in np.nonzero(counts >= asked))))
+
+
+def test_vectors_that_share_an_id(spark):
+    """Rows are the nodes; very long and very short vectors are compared too."""
+    v, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    cases = [[(1, v), (5, v), (3, w), (5, w)], [(1, [1e200, 0.0]), (2, [1e200, 1e190]), (3, [1e-300, 0.0]), (3, None)], [(7, v), (7, v), (7, w), (None, v)], [(1, [0.0, 1.0]), (2, [-0.0, 1.0])]]
+    for rows in cases:
+        got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+        unit = [None if i is None or x is None else np.array(x) / np.abs(x).max() / np.linalg.norm(np.array(x) / np.abs(x).max()) for i, x in rows]
+        near = [[a != b and unit[a] is not None and unit[b] is not None and float(unit[a] @ unit[b]) >= 0.9 for b in range(len(rows))] for a in range(len(rows))]
+        want = []
+        for a, (i, _) in enumerate(rows):
+            seen, new = {a}, {a}
+            while new := {b for x in new for b in range(len(rows)) if near[x][b]} - seen:
+                seen |= new
+            ids = [rows[b][0] for b in seen if rows[b][0] is not None]
+            want.append((i, sum(near[a]), min(ids, default=None), i == min(ids, default=None)))
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_recall_at_the_threshold(spark, monkeypatch):
+    """Pairs just over the threshold are linked, by cells and counts together."""
+    for n in (20_000, 10**7, 10**9):
         bits, tables = embedding_dedup.plan_tables(n, 0.9)
-        assert bits > 0 and 1 - (1 - (1 - math.acos(0.9) / math.pi) ** bits) ** tables >= 0.998
+        assert bits > 0 and 1 - (1 - (1 - math.acos(0.9) / math.pi) ** bits) ** tables >= 0.995
+    monkeypatch.setattr(embedding_dedup, "CELL", 256)  # as many cells as a larger table has
     rng = np.random.default_rng(12)
     a, b = rng.standard_normal((2, 1100, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
