@@ -15,8 +15,8 @@ The tree grows with the corpus and is never in one place. Texts become chunks of
 staged table: the hashes of its distinct words, the place of each token among them). A chunk asks for what it needs,
 each key once: a round sends sorted keys with the chunk's own counts to the bucket that owns the range of keys; the
 bucket adds up and answers in the order of the keys. So a word or context that makes up a third of the corpus is one
-entry a chunk. The rounds (STEPS): counts of words; of pairs; of triples; of four and five tokens, each only where the
-parts that are known occur LEAST times; the divergences of all contexts; then every chunk scores its own documents. Keys are 64-bit hashes: among
+entry a chunk. The rounds: counts of words; of pairs; of triples and so on (STEPS), each only where the parts that are
+known occur LEAST times, and with each the divergences of the contexts before; then every chunk scores its own documents. Keys are 64-bit hashes: among
 10^9 distinct words the chance that any two are taken for one is 3 %.
 """
 
@@ -45,7 +45,7 @@ DIVERGENCE = 1.0
 #: Tokens of a chunk (one document more at most).
 CHUNK = 1_300_000
 #: The lengths of contexts that are asked for together; longer steps are fewer passes and more keys.
-STEPS = ((1,), (2,), (3, 4))
+STEPS = ((1,), (2,), (3,), (4,))
 #: Buckets are 2 ** bits: so many keys each, and so many buckets at least.
 BUCKET_KEYS = 1_500_000
 LEAST_BITS = 7
