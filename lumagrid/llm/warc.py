@@ -7,12 +7,13 @@ replaced by those of the revisit that a 304 may update.
 
 The as-of join is a carried-forward maximum. A URL can hold a third of all rows, so it isn't one task's:
 time is cut at quantiles into BUCKETS, the join is done within (url, bucket), and only each bucket's last
-response is carried on to the later buckets of its URL.
+response is carried on to the later buckets of its URL. Of a response that very many revisits resolve to, several
+copies are joined, each with a part of them.
 """
 
 from __future__ import annotations
 
-import gzip
+import datetime
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import Staging
+from .joins import HOT_ROWS
+
 BUCKETS = 256
+#: Bytes that are unpacked at once, and bytes of payload that leave the reader together.
+PIECE = 1 << 20
+BATCH = 16 << 20
 #: Headers that describe the body and are never taken from a 304.
 KEPT_HEADERS = ("content-encoding", "content-length", "content-range", "content-type", "transfer-encoding")
 #: Query parameters that don't change the page.
@@ -45,7 +52,7 @@ def _weak(etag: Column) -> Column:
     return F.regexp_replace(etag, "^W/", "")
 
 
-def resolve_revisits(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def resolve_revisits(records: DataFrame, buckets: int = BUCKETS, hot_from: int = 1000) -> DataFrame:
     """records: record_id, warc_type, url, at, headers (map, names in lower case), payload, digest; further
     columns are ignored.
 
@@ -73,8 +80,18 @@ def resolve_revisits(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     before = Window.partitionBy("canonical_url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = places.withColumn("carried", F.max("last").over(before)).select("canonical_url", "bucket", "carried")
     found = revisits.join(carried, ["canonical_url", "bucket"], "left").withColumn("hit", F.coalesce("near", "carried"))
+    found = Staging(records.sparkSession, "warc").put(found.select("record_id", "canonical_url", "at", "headers", "digest", "hit"))
+    # Responses of least or more revisits: HOT_ROWS at most, which are broadcast with their number of copies (2 * HOT_ROWS in all).
+    met = found.filter("hit IS NOT NULL").groupBy(F.col("canonical_url").alias("hot_url"), F.col("hit.at").alias("hot_at"), F.col("hit.record_id").alias("hot_id")).agg(F.count("*").alias("n"))
+    least = max(hot_from, -(-found.count() // HOT_ROWS))
+    hot = F.broadcast(met.filter(F.col("n") >= least).withColumn("copies", F.ceil(F.col("n") / least).cast("int")).drop("n"))
+    is_hot = lambda url, at, name: (url == F.col("hot_url")) & (at == F.col("hot_at")) & (name == F.col("hot_id"))
+    found = found.join(hot, is_hot(F.col("canonical_url"), F.col("hit.at"), F.col("hit.record_id")), "left").drop("hot_url", "hot_at", "hot_id")
+    found = found.withColumn("copy", F.coalesce(F.pmod(F.xxhash64("record_id", "at"), "copies").cast("int"), F.lit(0)))
     bodies = slim.filter(response).select(F.col("record_id").alias("source_id"), F.col("at").alias("source_at"), F.col("canonical_url").alias("source_url"), F.col("headers").alias("source_headers"), F.col("payload").alias("source_payload"), F.col("digest").alias("source_digest")).dropDuplicates(["source_id", "source_at", "source_url"])
-    on = (F.col("hit.record_id") == F.col("source_id")) & (F.col("hit.at") == F.col("source_at")) & (F.col("canonical_url") == F.col("source_url"))
+    bodies = bodies.join(hot, is_hot(F.col("source_url"), F.col("source_at"), F.col("source_id")), "left").drop("hot_url", "hot_at", "hot_id")
+    bodies = bodies.withColumn("source_copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    on = (F.col("copy") == F.col("source_copy")) & (F.col("hit.record_id") == F.col("source_id")) & (F.col("hit.at") == F.col("source_at")) & (F.col("canonical_url") == F.col("source_url"))
     joined = found.join(bodies, on, "left")
     own, full = F.col("headers"), F.col("source_headers")
     both = lambda h: F.try_element_at(own, F.lit(h)).isNotNull() & F.try_element_at(full, F.lit(h)).isNotNull()
@@ -94,21 +111,61 @@ def resolve_revisits(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return result.unionByName(bad.select("record_id", "canonical_url", F.col("at").cast("timestamp").alias("at"), F.lit("missing").alias("outcome"), *map(none, ("source_id", "headers", "payload", "digest"))))
 
 
-def parse_warc(data: bytes) -> Iterator[dict]:
-    """Records of an uncompressed or (by member) gzipped archive; a record that breaks off ends the file."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", start)
-        if end < 0:
+def _unpacked(data: bytes) -> Iterator[bytes]:
+    """The archive in pieces; a gzipped one is unpacked member by member, and ends where it is cut off or damaged."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    view, at = memoryview(data), 0
+    while at < len(view) and view[at : at + 2] == b"\x1f\x8b":
+        member = zlib.decompressobj(wbits=31)
+        rest = view[at:]
+        while not member.eof and len(rest):
+            try:
+                piece = member.decompress(rest, PIECE)
+            except zlib.error:
+                return
+            rest = member.unconsumed_tail
+            if piece:
+                yield piece
+            elif not rest:
+                break
+        if not member.eof:
             return
-        fields = dict(_pairs(data[start:end].split(b"\r\n")[1:]))
-        size = int(fields.get("content-length", 0))
-        block = data[end + 4 : end + 4 + size]
-        at = end + 4 + size
-        if len(block) < size:
+        at = len(view) - len(member.unused_data)
+
+
+def parse_warc(data: bytes) -> Iterator[dict]:
+    """Records of an uncompressed or (by member) gzipped archive, one at a time.
+
+    A record that breaks off, or whose length is no number, ends the file; a date that can't be read is null.
+    """
+    held = bytearray()
+    pieces = _unpacked(data)
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        if piece is None:
+            return False
+        held.extend(piece)
+        return True
+
+    while True:
+        while (start := held.find(b"WARC/")) < 0 or (end := held.find(b"\r\n\r\n", start)) < 0:
+            if start < 0:
+                del held[:-4]
+            if not more():
+                return
+        fields = dict(_pairs(bytes(held[start:end]).split(b"\r\n")[1:]))
+        length = fields.get("content-length", "0")
+        if not length.isdecimal():
             return
+        size = int(length)
+        while len(held) < end + 4 + size:
+            if not more():
+                return
+        block = bytes(held[end + 4 : end + 4 + size])
+        del held[: end + 4 + size]
         status, headers, payload = None, {}, block
         if block[:5] == b"HTTP/":
             head, _, payload = block.partition(b"\r\n\r\n")
@@ -116,7 +173,14 @@ def parse_warc(data: bytes) -> Iterator[dict]:
             code = lines[0].split(b" ")[1:2]
             status = int(code[0]) if code and code[0].isdigit() else None
             headers = dict(_pairs(lines[1:]))
-        yield {"record_id": fields.get("warc-record-id"), "warc_type": fields.get("warc-type"), "url": fields.get("warc-target-uri", "").strip("<>") or None, "at": fields.get("warc-date"), "status": status, "headers": headers, "payload": payload, "digest": fields.get("warc-payload-digest")}
+        yield {"record_id": fields.get("warc-record-id"), "warc_type": fields.get("warc-type"), "url": fields.get("warc-target-uri", "").strip("<>") or None, "at": _date(fields.get("warc-date")), "status": status, "headers": list(headers.items()), "payload": payload, "digest": fields.get("warc-payload-digest")}
+
+
+def _date(text: str | None) -> datetime.datetime | None:
+    try:
+        return datetime.datetime.fromisoformat(text.replace("Z", "+00:00")) if text else None
+    except ValueError:
+        return None
 
 
 def _pairs(lines: list[bytes]) -> Iterator[tuple[str, str]]:
@@ -127,22 +191,24 @@ def _pairs(lines: list[bytes]) -> Iterator[tuple[str, str]]:
 
 
 def read_warc(spark: SparkSession, path: str, glob: str = "*.warc*") -> DataFrame:
-    """Records of all archives under a path, read through Spark's file source (a file at a time)."""
+    """Records of all archives under a path, read through Spark's file source.
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import datetime
+    A file is one row of at most 2 GB (as it is stored); it is unpacked as its records are taken, which leave in
+    batches of about BATCH bytes. What a cut-off or damaged file has up to there is returned.
+    """
 
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("record_id", pa.string()), ("warc_type", pa.string()), ("url", pa.string()), ("at", pa.timestamp("us", "UTC")), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()), ("digest", pa.string())])
         for b in batches:
-            for content in b.column("content").to_pylist():
-                try:
-                    records = list(parse_warc(content))
-                except (OSError, EOFError, zlib.error) as e:
-                    raise ValueError("an archive can't be unpacked") from e
-                for r in records:
-                    r["at"] = datetime.datetime.fromisoformat(r["at"].replace("Z", "+00:00")) if r["at"] else None
-                    r["headers"] = list(r["headers"].items())
-                yield pa.RecordBatch.from_pylist(records, schema=kind)
+            for k in range(b.num_rows):
+                rows, size = [], 0
+                for r in parse_warc(b.column("content")[k].as_py()):
+                    rows.append(r)
+                    size += len(r["payload"])
+                    if size >= BATCH:
+                        yield pa.RecordBatch.from_pylist(rows, schema=kind)
+                        rows, size = [], 0
+                yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("content").mapInArrow(parse, RECORD)
 
