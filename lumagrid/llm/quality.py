@@ -5,7 +5,8 @@ frequencies and a few ratios, mapped to a hidden vector, weighted by gated atten
 is classified. Only document labels are used; the attention learns which passages matter.
 
 The model is small (about 20,000 numbers) and is trained on the driver from a bounded sample of labelled
-documents (TRAIN_DOCS, those of the smallest hashed ids, of at most TRAIN_PASSAGES passages each);
+documents (TRAIN_DOCS, those of the smallest hashed ids, of at most TRAIN_PASSAGES passages each and TRAIN_ALL in
+all, which are 52 MB; they stay bytes until a mini-batch of 64 documents needs them);
 scoring runs over all documents in Arrow batches.
 """
 
@@ -28,6 +29,7 @@ ATTENTION = 16
 #: Bounds of the training sample.
 TRAIN_DOCS = 4000
 TRAIN_PASSAGES = 256
+TRAIN_ALL = 100_000
 EPOCHS = 12
 #: Updates at least, so that a small sample is passed more often.
 LEAST_UPDATES = 600
@@ -116,7 +118,7 @@ def _gradients(m: dict, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict
 
 
 def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> dict:
-    """Adam on the mean log loss over mini-batches of 64 documents, with weight decay."""
+    """Adam on the mean log loss over mini-batches of 64 documents, with weight decay; x may be 64ths as bytes."""
     rng = np.random.default_rng(7)
     scale = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
     m = {"w": scale(FEATURES, HIDDEN) * 2, "b": np.zeros(HIDDEN, np.float32), "v": scale(HIDDEN, ATTENTION), "u": scale(HIDDEN, ATTENTION), "a": scale(ATTENTION), "c": scale(HIDDEN), "d": np.float32(0)}
@@ -132,7 +134,8 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -
             rows = np.concatenate([np.arange(first[i], first[i + 1]) for i in part])
             ends = np.concatenate([[0], np.cumsum(first[part + 1] - first[part])])
             step += 1
-            for k, g in _gradients(m, x[rows], ends, y[part]).items():
+            some = x[rows].astype(np.float32) / 64 if x.dtype == np.uint8 else x[rows]
+            for k, g in _gradients(m, some, ends, y[part]).items():
                 g = g + 1e-4 * m[k]
                 one[k] = 0.9 * one[k] + 0.1 * g
                 two[k] = 0.999 * two[k] + 0.001 * g * g
@@ -143,7 +146,8 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -
 def train(docs: DataFrame, labels: DataFrame) -> dict:
     """The model, from documents outside the held-out fold (crc32(doc_id) mod 5 is 0) with a label.
 
-    A doc_id with several labels counts as good if most of them say so; null ids and labels are left out.
+    A doc_id with several labels counts as good if most of them say so; null ids and labels are left out. A doc_id
+    with several rows is learned from once, by the text of the smallest hash.
     """
     known = (
         labels.filter(F.col("quality").isNotNull() & learned_from(F.col("doc_id"), 5, 0))
@@ -152,14 +156,25 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     )
     # A top-k by hash: every task keeps TRAIN_DOCS rows at most; so do the sample and its broadcast.
     sample = known.orderBy(F.xxhash64("__id"), "__id").limit(TRAIN_DOCS)
-    rows = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text")).join(F.broadcast(sample), "__id")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    hashed = docs.select(F.col("doc_id").alias("__id"), text.alias("__text"), F.xxhash64(text).alias("__h")).filter(F.octet_length("__text") <= PASSAGE * TRAIN_PASSAGES)
+    # Of each id of the sample one text, and as many ids as have TRAIN_ALL passages together: TRAIN_DOCS short rows.
+    size = F.greatest(F.lit(1), F.ceil(F.octet_length("__text") / PASSAGE)).cast("long")
+    told = hashed.select("__id", "__h", size.alias("n")).join(F.broadcast(sample), "__id").groupBy("__id").agg(F.min(F.struct("__h", "n")).alias("least"))
+    told = told.select("__id", "least.__h", "least.n", F.xxhash64("__id").alias("order")).toArrow().sort_by([("order", "ascending"), ("__id", "ascending")])
+    told = told.slice(0, int(np.searchsorted(np.cumsum(told.column("n").to_numpy()), TRAIN_ALL, "right")))
+    chosen = docs.sparkSession.createDataFrame(told.select(["__id", "__h"])) if len(told) else None
+    if chosen is None:
+        return fit(np.zeros((0, FEATURES), np.float32), np.array([0]), np.zeros(0, np.float32))
+    rows = hashed.join(F.broadcast(chosen.join(sample, "__id")), ["__id", "__h"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("quality")
+        sent: set = set()  # ids of the sample that this task has had
         for b in batches:
             ids, ys = b.column("__id").to_pylist(), b.column("__y").to_pylist()
-            texts = [(t or "").encode() for t in b.column("__text").to_pylist()]
-            keep = [i for i, t in enumerate(texts) if len(t) <= PASSAGE * TRAIN_PASSAGES]
+            texts = [t.encode() for t in b.column("__text").to_pylist()]
+            keep = [i for i, x in enumerate(ids) if x not in sent and not sent.add(x)]
             at = 0
             for part in _sliced([texts[i] for i in keep]):
                 x, first = encode(part)
@@ -168,12 +183,12 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
                 at += len(part)
                 yield pa.RecordBatch.from_pydict({"id": [ids[i] for i in own], "y": [ys[i] for i in own], "x": [x[first[k] : first[k + 1]].tobytes() for k in range(len(part))]})
 
-    got = sorted(rows.select("__id", "__y", "__text").mapInArrow(features, f"id {dict(docs.dtypes)['doc_id']}, y long, x binary").collect(), key=lambda r: (r["id"], r["x"]))
-    bags = [np.frombuffer(r["x"], np.uint8).reshape(-1, FEATURES) for r in got]
-    if not bags:
-        return fit(np.zeros((0, FEATURES), np.float32), np.array([0]), np.zeros(0, np.float32))
-    first = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
-    return fit(np.concatenate(bags).astype(np.float32) / 64, first, np.array([r["y"] for r in got], np.float32))
+    made = rows.select("__id", "__y", "__text").mapInArrow(features, f"id {dict(docs.dtypes)['doc_id']}, y long, x binary")
+    got = made.dropDuplicates(["id"]).toArrow().sort_by("id")
+    sizes = np.array([len(v) for v in got.column("x").to_pylist()], np.int64) // FEATURES
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    raw = np.frombuffer(b"".join(got.column("x").to_pylist()), np.uint8).reshape(-1, FEATURES)
+    return fit(raw, first, got.column("y").to_numpy().astype(np.float32))
 
 
 def score(model: dict, texts: list[bytes]) -> np.ndarray:
