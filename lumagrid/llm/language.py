@@ -146,12 +146,13 @@ def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     held out and never learned from. Repeated rows count as often as they occur; other columns are ignored.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & learned_from(F.col("doc_id"), 4, 2))
-    rows = count_trigrams(known).collect()  # at most languages * BUCKETS
-    langs = sorted({r["lang"] for r in rows})
-    place = {x: i for i, x in enumerate(langs)}
+    rows = count_trigrams(known).toArrow()  # at most languages * BUCKETS rows, some 20 bytes each
+    named = rows.column("lang").combine_chunks().dictionary_encode()
+    names = named.dictionary.to_pylist()
+    langs = sorted(names)
     counts = np.zeros((len(langs), BUCKETS))
-    for r in rows:
-        counts[place[r["lang"]], r["bucket"]] = r["n"]
+    place = np.array([langs.index(x) for x in names], np.int64)
+    counts[place[named.indices.to_numpy()], rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     model = spark.sparkContext.broadcast(Mixture(langs, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
