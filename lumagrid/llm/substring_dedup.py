@@ -158,7 +158,8 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
 
     removed_spans is an array of structs (start, stop) of character offsets in the original text. Null text
     stays null and has no units; a text that is repeated as a whole becomes empty. Documents with a null id
-    rank last. Rows that share an id rank alike, so what only they have in common stays. Columns of docs
+    rank last and among themselves by a hash of their text. Rows that share an id rank alike, so what only they have
+    in common stays. Columns of docs
     that are called like a result column are replaced; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -169,10 +170,10 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     kind = dict(docs.dtypes)[id_col]
     unit_rows = keyed.select(*_KEY, F.col(text_col).alias("__text")).mapInArrow(_unit_rows, f"__doc {kind}, __text_hash long, __place int, __d1 long, __d2 long")
     # A document names each of its digests once; what it repeats itself is found again when it is cut.
-    groups = store.put(unit_rows.groupBy("__d1", "__d2").agg(F.min("__doc").alias("__first"), F.count("*").alias("__n")).filter("__n > 1"))
+    groups = store.put(unit_rows.groupBy("__d1", "__d2").agg(F.min("__doc").alias("__first"), F.min(F.when(F.col("__doc").isNull(), F.col("__text_hash"))).alias("__least"), F.count("*").alias("__n")).filter("__n > 1"))
     total = groups.agg(F.sum("__n")).first()[0] or 0
     met = join_hot(unit_rows, groups, ["__d1", "__d2"], F.col("__n"), total)
-    elsewhere = met.filter(~F.col("__doc").eqNullSafe(F.col("__first")))
+    elsewhere = met.filter(~F.col("__doc").eqNullSafe(F.col("__first")) | (F.col("__doc").isNull() & (F.col("__text_hash") != F.col("__least"))))
     places = elsewhere.groupBy(*_KEY).agg(F.collect_set(F.struct(F.col("__place").alias("p"), F.col("__first").alias("d"))).alias("__places"))
     places = places.select(F.col("__doc").alias("__pd"), F.col("__text_hash").alias("__ph"), "__places")
     joined = keyed.join(places, keyed["__doc"].eqNullSafe(F.col("__pd")) & (keyed["__text_hash"] == F.col("__ph")), "left").drop("__pd", "__ph", "__doc", "__text_hash")
