@@ -108,8 +108,8 @@ def test_revisits(spark):
         ("n", "request", "http://other.com/", 1, {}, b"no", None),
     ]
     df = spark.createDataFrame([(*r[:3], r[3], *r[4:]) for r in rows], RECORDS).withColumn("at", F.timestamp_seconds("at")).withColumn("bucket", F.lit("clash"))
-    for buckets in (1, 3, 256):
-        got = [(r["record_id"], r["outcome"], r["source_id"], r["payload"] and bytes(r["payload"]), r["headers"]) for r in warc.resolve_revisits(df, buckets).collect()]
+    for buckets, hot in ((1, 1), (3, 2), (256, 1000)):
+        got = [(r["record_id"], r["outcome"], r["source_id"], r["payload"] and bytes(r["payload"]), r["headers"]) for r in warc.resolve_revisits(df, buckets, hot).collect()]
         merged = {"etag": 'W/"1"', "content-type": "text/html", "date": "d2"}
         assert sorted(got, key=str) == sorted(
             [("r1", "resolved", "a", b"one", merged), ("r2", "changed", "b", None, None), ("r3", "missing", None, None, None), ("r4", "missing", None, None, None), ("r5", "missing", None, None, None), ("r6", "missing", None, None, None)]
@@ -130,6 +130,41 @@ def test_archives(spark, tmp_path):
     assert sorted((r["record_id"], r["warc_type"], r["status"], bytes(r["payload"]), r["headers"]["etag"]) for r in rows) == sorted([("<1>", "response", 200, b"body", '"9"'), ("<2>", "revisit", 304, b"", '"9"')] * 2)
 
 
+def test_a_hot_response(spark, monkeypatch):
+    """A third of all revisits resolve to one response: its copies share them."""
+    rows = [("a", "response", "http://h.com/", 1, {"etag": '"1"'}, b"body", "D")] + [(f"o{k}", "response", f"http://o.com/{k}", 1, {}, b"x", f"D{k}") for k in range(40)]
+    rows += [(f"r{k}", "revisit", "http://h.com/", 2 + k, {"etag": '"1"'}, None, None) for k in range(200)] + [(f"s{k}", "revisit", f"http://o.com/{k % 40}", 5, {}, None, f"D{k % 40}") for k in range(80)]
+    df = spark.createDataFrame(rows, RECORDS).withColumn("at", F.timestamp_seconds("at"))
+    for hot in (1, 7, 50):
+        got = warc.resolve_revisits(df, 4, hot).collect()
+        assert len(got) == 280 and all(r["outcome"] == "resolved" for r in got)
+        assert all(bytes(r["payload"]) == (b"body" if r["record_id"][0] == "r" else b"x") for r in got)
+
+
+def test_damaged_archives(spark, tmp_path):
+    """What is there before the damage comes out, and nothing else happens."""
+    def record(name, extra, block=b"abc"):
+        return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <%s>\r\n%s\r\n\r\n%s\r\n\r\n" % (name, extra, block)
+
+    good = record(b"1", b"Content-Length: 3\r\nWARC-Date: 2024-01-02T03:04:05Z")
+    big = record(b"big", b"Content-Length: 5000000", bytes(5_000_000))
+    cases = {
+        "date": (good + record(b"2", b"Content-Length: 3\r\nWARC-Date: yesterday") + good, ["<1>", "<2>", "<1>"]), "length": (good + record(b"2", b"Content-Length: many") + good, ["<1>"]),
+        "cut": (good + good[:40], ["<1>"]), "empty": (b"", []), "noise": (b"no archive at all", []), "large": (big + good + big, ["<big>", "<1>", "<big>"]),
+    }
+    for name, (data, want) in cases.items():
+        for pack in (lambda x: x, gzip.compress, lambda x: b"".join(gzip.compress(p) for p in (x[:100], x[100:]))):
+            assert [r["record_id"] for r in warc.parse_warc(pack(data))] == want, name
+    whole = gzip.compress(good) + gzip.compress(good)
+    assert [r["record_id"] for r in warc.parse_warc(whole[:-20])] in (["<1>"], ["<1>", "<1>"])
+    damaged = gzip.compress(good) + b"\x1f\x8b" + b"\xff" * 50
+    assert [r["record_id"] for r in warc.parse_warc(damaged)] == ["<1>"]
+    (tmp_path / "a.warc").write_bytes(cases["date"][0])
+    (tmp_path / "b.warc.gz").write_bytes(whole[:-20])
+    got = warc.read_warc(spark, str(tmp_path)).collect()
+    assert len(got) >= 4 and sum(r["at"] is None for r in got) == 1
+
+
 def test_pipeline(spark, odd):
     import corpus_pipeline as p
 

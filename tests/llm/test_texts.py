@@ -386,20 +386,95 @@ def test_shingle_sets():
 # ---- passages
 
 
+def brute_units(text):
+    """Units by their definition, word by word: (start, end, start of the next)."""
+    ends = [(m.start() + (text[m.start()] != "\n"), m.end()) for m in re.finditer(r"[.!?]\s+|\n\s*", text)]
+    sentences, at = [], len(text) - len(text.lstrip())
+    for end, following in [*ends, (len(text), len(text))]:
+        if end >= at and text[at:end].strip():
+            sentences.append((at, end, following))
+            at = following
+        elif end >= at or following > at:
+            at = max(at, following)
+    out = []
+    for start, end, following in sentences:
+        found = [(m.start(), m.end()) for m in re.finditer(r"\S+", text[start:end])]
+        h = [zlib.crc32(text[start + a : start + b].lower().encode()) for a, b in found]
+        cuts, last = [], -99
+        for i in range(4, len(h) - 4) if len(h) > 16 else ():
+            if i - last > 4 and all(h[i] < x for x in h[i - 4 : i]) and all(h[i] <= x for x in h[i + 1 : i + 5]):
+                cuts.append(i)
+                last = i
+        base = start
+        for i in cuts:
+            out.append((start, base + found[i][1], base + found[i + 1][0]))
+            start = out[-1][2]
+        out.append((start, end, following))
+    return out
+
+
 def brute_cut(rows, least):
-    first = {}
-    spans = {i: substring_dedup.units(t or "") for i, t in rows}
+    """Texts without the runs of repeated units, from the definitions: the earliest occurrence of each normalised unit stays."""
+    spans = {i: brute_units(t or "") for i, t in rows}
     norm = lambda t, u: " ".join(t[u[0] : u[1]].lower().split())
+    first = {}
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
         for k, u in enumerate(spans[i]):
             first.setdefault(norm(t, u), (i, k))
     out = {}
     for i, t in rows:
-        repeated = {k: first[norm(t, u)][0] for k, u in enumerate(spans[i]) if first[norm(t, u)] != (i, k)}
-        out[i] = substring_dedup.cut(t, repeated, least)[0] if t else t
+        if not t:
+            out[i] = t
+            continue
+        again = [first[norm(t, u)] != (i, k) for k, u in enumerate(spans[i])]
+        drop, k = set(), 0
+        while k < len(again):
+            end = k
+            while end < len(again) and again[end]:
+                end += 1
+            if end > k and sum(len(t[a:b].split()) for a, b, _ in spans[i][k:end]) >= least:
+                drop |= set(range(k, end))
+            k = max(end, k + 1)
+        text, at = "", 0
+        for k, u in enumerate(spans[i]):
+            if k in drop:
+                if k - 1 not in drop:
+                    text += t[at : u[0]]
+                    cut_from = u[0]
+                if k + 1 not in drop:
+                    at = u[2]
+                    if "\n" in t[cut_from:at] and at < len(t) and text and not text.endswith("\n"):
+                        text += "\n"
+        out[i] = text + t[at:]
     return out
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["one ", "two ", "Three. ", "four\n", " \n\n", "five! ", "six? seven ", "a.b ", "end.", "x y z w v u t s r q p o n m ", "ß é\t"]), max_size=25).map("".join))
+def test_units_by_definition(text):
+    assert substring_dedup.units(text) == brute_units(text)
+
+
+@pytest.mark.parametrize("least", [1, 20])
+def test_substring_of_any_length(spark, least):
+    """With min_words=1 every repeated unit goes, however short."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    got = {r["doc_id"]: r for r in substring_dedup.dedup_substrings(docs, min_words=least).collect()}
+    assert {i: r["text"] for i, r in got.items()} == brute_cut(rows, least)
+    if least == 1:
+        left = collections.Counter(" ".join(r["text"][a:b].lower().split()) for r in got.values() if r["text"] for a, b, _ in brute_units(r["text"]))
+        whole = collections.Counter(" ".join(t[a:b].lower().split()) for _, t in rows if t for a, b, _ in brute_units(t))
+        assert sum(n - 1 for n in left.values()) < 0.02 * sum(n - 1 for n in whole.values())  # some are made anew where texts were cut
+
+
+def test_passages_of_rows_without_id(spark):
+    passage = ". ".join(prose(80 + k, 9) for k in range(5)) + "."
+    docs = spark.createDataFrame([(None, f"{prose(k, 30)}. {passage}") for k in range(3)], "doc_id long, text string")
+    got = [r["text"] for r in substring_dedup.dedup_substrings(docs).collect()]
+    assert sum(passage in t for t in got) == 1
+
+
 def test_substring(spark, odd, nothing):
     passage = ". ".join(prose(50 + k, 9) for k in range(8))
     rows = [(k, f"{prose(k, 40)} {passage} {prose(k + 500, 40)}.\nLast line {k}.") for k in range(6)] + [(6, "Short. Short. Short."), (7, prose(900, 60) + "\n" + prose(900, 60)), (8, None), (9, "")]
@@ -453,6 +528,51 @@ def test_language(spark, odd, nothing):
     assert {r["lang_pred"] for r in language.identify(spark, odd.filter("lang IS NULL")).collect()} == {"und"}
 
 
+def brute_mixture(m, codes, penalty=language.PENALTY, rounds=language.ROUNDS):
+    """The same inference with loops over plain Python floats."""
+    k = len(m.langs)
+    p = [[float(m.p[l][c]) for c in codes] for l in range(k)]
+
+    def fit(ls, w):
+        for _ in range(rounds):
+            new = [0.0] * len(ls)
+            for j in range(len(codes)):
+                whole = sum(w[a] * p[l][j] for a, l in enumerate(ls))
+                for a, l in enumerate(ls):
+                    new[a] += w[a] * p[l][j] / whole
+            new = [x / len(codes) for x in new]
+            moved = max(abs(a - b) for a, b in zip(new, w))
+            w = new
+            if moved < 1e-3:
+                break
+        return w, sum(math.log(sum(w[a] * p[l][j] for a, l in enumerate(ls))) for j in range(len(codes)))
+
+    w, _ = fit(list(range(k)), [1 / k] * k)
+    order = sorted(range(k), key=lambda l: -w[l])
+    tried = []
+    for size in range(1, k + 1):
+        some = order[:size]
+        if size > 1 and w[some[-1]] < 1e-3:
+            break
+        v, like = fit(some, [w[l] / sum(w[x] for x in some) for l in some])
+        tried.append((like - penalty * math.log(len(codes)) * size, some, v))
+        if size > 2 and tried[-1][0] <= max(t[0] for t in tried[:-1]):
+            break
+    _, some, v = max(tried, key=lambda t: t[0])
+    return m.langs[some[v.index(max(v))]], max(v) / sum(v)
+
+
+def test_mixtures_against_loops():
+    rng = np.random.default_rng(11)
+    counts = rng.gamma(0.3, 40, (4, language.BUCKETS))
+    m = language.Mixture(["a", "b", "c", "d"], counts)
+    for n, shares in ((40, [1, 0, 0, 0]), (200, [0.6, 0.4, 0, 0]), (300, [0.5, 0.3, 0.2, 0]), (90, [0.1, 0.1, 0.1, 0.7])):
+        codes = np.concatenate([rng.choice(language.BUCKETS, int(n * s), p=m.p[l] / m.p[l].sum()) for l, s in enumerate(shares)])
+        lang, share = m.infer(codes)
+        want, other = brute_mixture(m, codes.tolist())
+        assert lang == want and abs(share - other) < 0.01
+
+
 def test_mixture_of_two():
     rng = np.random.default_rng(1)
     counts = np.zeros((3, language.BUCKETS))
@@ -566,6 +686,52 @@ def test_quality(spark, odd, nothing):
         assert quality.quality_scores(spark, table, labels).count() == table.count() == quality.quality_scores(spark, table, none).count()
 
 
+def test_quality_of_documents_not_learned_from(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    unseen = [r for r in quality.quality_scores(spark, docs, labels).collect() if r["doc_id"] in truth and r["held_out"]]
+    assert len(unseen) >= 50 and all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in unseen)
+    assert sum(r["predicted"] == truth[r["doc_id"]] for r in unseen) >= 0.95 * len(unseen)
+
+
+def test_quality_of_repeated_rows(spark, monkeypatch):
+    """An id with many rows is learned from once, and the sample has a bound in passages."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    first = labels.filter("crc32(cast(cast(doc_id AS string) AS binary)) % 5 != 0").first()["doc_id"]
+    one = docs.filter(docs.doc_id == first)
+    seen = []
+    fit = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, at, y: seen.append((x.copy(), at.copy(), y.copy())) or fit(x[:0], np.array([0]), y[:0]))
+    many = docs
+    for _ in range(3):
+        many = many.unionByName(one)
+    quality.train(docs, labels)
+    quality.train(many, labels)
+    assert all((a == b).all() for a, b in zip(*seen)) and seen[0][0].dtype == np.uint8
+    monkeypatch.setattr(quality, "TRAIN_ALL", 40)
+    quality.train(docs, labels)
+    assert 0 < len(seen[2][0]) <= 40 and len(seen[2][2]) < len(seen[0][2])
+
+
+def test_attention_against_loops():
+    """The forward pass with plain Python numbers."""
+    rng = np.random.default_rng(5)
+    m = {k: np.asarray(v, np.float64) for k, v in quality.fit(np.zeros((0, quality.FEATURES), np.float32), np.array([0]), np.zeros(0)).items()}
+    bags = [rng.random((n, quality.FEATURES)) for n in (1, 4, 2)]
+    got = quality._forward(m, np.concatenate(bags), np.array([0, 1, 5, 7]))["p"]
+    for bag, p in zip(bags, got):
+        hidden = [[math.tanh(sum(x * m["w"][f][h] for f, x in enumerate(passage)) + m["b"][h]) for h in range(quality.HIDDEN)] for passage in bag.tolist()]
+        gate = []
+        for h in hidden:
+            value = 0.0
+            for a in range(quality.ATTENTION):
+                t, s = (sum(h[j] * m[k][j][a] for j in range(quality.HIDDEN)) for k in ("v", "u"))
+                value += m["a"][a] * math.tanh(t) / (1 + math.exp(-s))
+            gate.append(math.exp(value))
+        z = [sum(g * h[j] for g, h in zip(gate, hidden)) / sum(gate) for j in range(quality.HIDDEN)]
+        assert math.isclose(p, 1 / (1 + math.exp(-sum(a * b for a, b in zip(z, m["c"])) - m["d"])), rel_tol=1e-9)
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
     x, first = rng.standard_normal((7, quality.FEATURES)), np.array([0, 1, 4, 7])
