@@ -3,8 +3,8 @@
 A text's unit is a line, cut further at sentence ends, because a repeated passage need not start or end
 with a line. As it need not start or end with a sentence either, sentences of over LONG words are cut further
 after words whose hash is the smallest among NEAR words on both sides: the same words are cut at the same
-places whatever is around them, NEAR words from the passage's ends on. Units are normalised (lower case, white space as one space) and hashed to 128 bits; digests
-are grouped over all documents and the earliest occurrence (by document id, then place) is the one to keep.
+places whatever is around them, NEAR words from the passage's ends on. Units are normalised (lower case by
+character, white space as one space) and hashed to 128 bits (out of 64 bits a word); digests are grouped over all documents and the earliest occurrence (by document id, then place) is the one to keep.
 Consecutive units whose earliest occurrence is elsewhere form a run, whichever documents have them; a run is
 cut out if it has at least MIN_WORDS words, so that short sentences and single notices, which repeat by chance
 or by custom, stay. The spans that were cut are given as character
@@ -16,17 +16,18 @@ A removed unit's earliest occurrence always stays, so no passage vanishes from t
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Staging
 from .joins import join_hot
+from .shingles import _mix
 from .worker import claim
 
 #: A run of repeated units is removed from this many words on.
@@ -34,123 +35,190 @@ MIN_WORDS = 20
 #: A passage of 50 words whose ends lie in sentences of at most LONG words has MIN_WORDS words in whole sentences.
 LONG = 16
 NEAR = 4
-_END = re.compile(r"[.!?]\s+|\n\s*")
-_WORD = re.compile(r"\S+")
+#: Characters that are cut into words at once; longer texts are cut where a word begins.
+SLICE = 2_000_000
 _KEY = ["__doc", "__text_hash"]
+_WORD_START = re.compile(r"\s\S")
+_P = 0x9E3779B97F4A7C15
+_A, _B = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
+#: Code points from here on have no lower case and are no white space.
+_TOP = 0x20000
+_SPACE, _FEED, _STOP = 1, 2, 4
 
 
-def _pieces(text: str, start: int, end: int, following: int) -> list[tuple[int, int, int]]:
-    """The units of a sentence or line."""
-    if end - start < 2 * LONG:  # too short for so many words
-        return [(start, end, following)]
-    places = [m.span() for m in _WORD.finditer(text, start, end)]
-    if len(places) <= LONG:
-        return [(start, end, following)]
-    h = [zlib.crc32(text[a:b].lower().encode("utf-8", "surrogatepass")) for a, b in places]
-    out, i, last = [], NEAR, len(h) - NEAR
-    while i < last:
-        if h[i] < min(h[i - NEAR : i]) and h[i] <= min(h[i + 1 : i + NEAR + 1]):
-            out.append((start, places[i][1], places[i + 1][0]))
-            start = places[i + 1][0]
-            i += NEAR
-        i += 1
-    out.append((start, end, following))
-    return out
-
-
-def units(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, start of the next unit) of each unit with a visible character."""
-    out, at, n = [], len(text) - len(text.lstrip()), len(text)
-    for m in _END.finditer(text, at):
-        end = m.start() + (text[m.start()] in ".!?")
-        if m.start() >= at and text[at:end].strip():
-            out += _pieces(text, at, end, m.end())
-            at = m.end()
-        elif m.start() >= at:
-            at = m.end()
-    if at < n and text[at:].strip():
-        out += _pieces(text, at, n, n)
-    return out
-
-
-def digests(text: str, spans: list[tuple[int, int, int]]) -> bytes:
-    """16 bytes for each unit."""
-    low = text.lower()
-    if len(low) != len(text):  # a few letters change length; then by unit
-        return b"".join(xxhash.xxh3_128_digest(" ".join(text[a:b].lower().split())) for a, b, _ in spans)
-    return b"".join(xxhash.xxh3_128_digest(" ".join(low[a:b].split())) for a, b, _ in spans)
-
-
-def first_places(text: str | None) -> dict[bytes, int]:
-    """Digest -> place of its first unit in the text."""
-    out: dict[bytes, int] = {}
-    if text:
-        d = digests(text, units(text))
-        for k in range(len(d) // 16):
-            out.setdefault(d[16 * k : 16 * k + 16], k)
-    return out
-
-
-def repeated_places(text: str, own: object, elsewhere: dict[int, object], spans: list[tuple[int, int, int]]) -> dict[int, object]:
-    """Places of repeated units with the document of the earliest occurrence.
-
-    elsewhere says so for the first place of a digest; later places follow it, or else are the text's own.
-    """
-    seen: dict[bytes, int] = {}
-    d = digests(text, spans)
-    out = {}
-    for k in range(len(d) // 16):
-        first = seen.setdefault(d[16 * k : 16 * k + 16], k)
-        if first in elsewhere:
-            out[k] = elsewhere[first]
-        elif first != k:
-            out[k] = own
-    return out
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """(a number for each lower-cased code point, its class)."""
+    low = np.arange(_TOP + 1, dtype=np.uint64)
+    kind = np.zeros(_TOP + 1, np.uint8)
+    for i in range(_TOP):
+        c = chr(i)
+        if len(c.lower()) == 1:
+            low[i] = ord(c.lower())
+        if c.isspace():
+            kind[i] = _SPACE
+    kind[10] = _SPACE | _FEED
+    kind[[ord(c) for c in ".!?"]] = _STOP
+    return _mix(low + np.uint64(_P)), kind
+
+
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _P and of its inverse modulo 2 ** 64."""
+    out = []
+    for base in (_P, pow(_P, -1, 1 << 64)):
+        x = np.full(n, base, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+def _scan(text: str) -> tuple[np.ndarray, ...]:
+    """(start, end, hash, whether a sentence or line ends after it) of each word; the last one's gap is that of the text's end."""
+    values, kinds = _tables()
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    small = np.minimum(c, _TOP)
+    kind = kinds[small]
+    space = (kind & _SPACE).astype(np.int8)
+    turn = np.flatnonzero(np.diff(space, prepend=np.int8(1), append=np.int8(1)))
+    start, end = turn[::2], turn[1::2]
+    value = values[small]
+    if len(c) and int(c.max()) >= _TOP:
+        far = np.flatnonzero(c >= _TOP)
+        value[far] = _mix(c[far].astype(np.uint64) + np.uint64(_P))
+    power, inverse = _powers(1 << max(16, len(c).bit_length()))
+    value *= power[: len(c)]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
+    h = _mix((total[end] - total[start]) * inverse[start])
+    feeds = np.flatnonzero(kind & _FEED)
+    after = np.append(start[1:], len(c))
+    stops = (kind[end - 1] & _STOP > 0) | (np.searchsorted(feeds, end) < np.searchsorted(feeds, after))
+    return start, end, h, stops
+
+
+def _parts(text: str) -> Iterator[tuple[int, str]]:
+    """A long text in parts that begin with a word."""
+    lo = 0
+    while len(text) - lo > SLICE:
+        m = _WORD_START.search(text, lo + SLICE)
+        if not m:
+            break
+        yield lo, text[lo : m.start() + 1]
+        lo = m.start() + 1
+    yield lo, text[lo:]
+
+
+class Units:
+    """The units of some texts, as arrays: owner (number of the text), start, end, following (start of the next unit,
+    or the text's end), words, d1, d2, and place (number of the unit in its text)."""
+
+    def __init__(self, texts: list[str]):
+        sizes = np.array([len(t) for t in texts], np.int64)
+        begins = np.cumsum(sizes + 1) - sizes - 1
+        joined = "\n".join(texts)
+        found = []
+        for lo, part in _parts(joined):
+            start, end, h, stops = _scan(part)
+            found.append((start + lo, end + lo, h, stops))
+        start, end, h, stops = (np.concatenate(x) for x in zip(*found, strict=True))
+        owner = np.searchsorted(begins, start, "right") - 1
+        n = len(start)
+        if n:
+            stops[-1] = True
+        # Sentences, and their cuts.
+        last = np.flatnonzero(stops)
+        first = np.concatenate([[0], last[:-1] + 1]).astype(np.int64)
+        length = last - first + 1
+        place = np.arange(n) - np.repeat(first, length)
+        size = np.repeat(length, length)
+        inner = np.flatnonzero((size > LONG) & (place >= NEAR) & (place < size - NEAR))
+        least = h[inner]
+        ok = np.ones(len(inner), bool)
+        for k in range(1, NEAR + 1):
+            ok &= (least < h[inner - k]) & (least <= h[inner + k])
+        stops[inner[ok]] = True
+        last = np.flatnonzero(stops)
+        first = np.concatenate([[0], last[:-1] + 1]).astype(np.int64)
+        self.owner, self.words = owner[last], last - first + 1
+        place = (np.arange(n) - np.repeat(first, self.words)).astype(np.uint64)
+        if n:
+            self.d1 = _mix(np.add.reduceat(_mix(h + place * _A), first) + _B)
+            self.d2 = _mix(np.add.reduceat(_mix((h ^ _B) + place * _B), first) + _A)
+        else:
+            self.d1 = self.d2 = np.zeros(0, np.uint64)
+        begin = begins[self.owner]
+        self.start, self.end = start[first] - begin, end[last] - begin
+        same = np.append(self.owner[1:] == self.owner[:-1], False) if n else np.zeros(0, bool)
+        self.following = np.where(same, np.append(self.start[1:], 0)[: len(same)], sizes[self.owner] if n else 0)
+        self.first = np.searchsorted(self.owner, np.arange(len(texts) + 1))
+        self.place = np.arange(len(last)) - self.first[self.owner]
+        # Units of one text with one digest: the number of the first of them.
+        key = _mix(self.d1 ^ (self.owner.astype(np.uint64) * _A)) ^ self.d2
+        order = np.argsort(key, kind="stable")
+        new = np.ones(len(order), bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        self.earliest = np.empty(len(order), np.int64)
+        self.earliest[order] = order[new][np.cumsum(new) - 1] if n else order
+
+    def spans(self, i: int) -> list[tuple[int, int, int]]:
+        own = slice(self.first[i], self.first[i + 1])
+        return list(zip(self.start[own].tolist(), self.end[own].tolist(), self.following[own].tolist(), strict=True))
+
+
+def _groups(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+    """(number of the first, texts) of about SLICE characters; a null counts as empty."""
+    lo, size, part = 0, 0, []
+    for i, t in enumerate(texts):
+        part.append(t or "")
+        size += len(part[-1]) + 1
+        if size >= SLICE:
+            yield lo, part
+            lo, size, part = i + 1, 0, []
+    if part:
+        yield lo, part
 
 
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     claim("substring")
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 1000):
-            b = whole.slice(lo, 1000)
-            rows, place, raw = [], [], []
-            for i, t in enumerate(b.column("__text").to_pylist()):
-                for k, x in first_places(t).items():
-                    rows.append(i)
-                    place.append(x)
-                    raw.append(k)
-            d = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("__doc").take(take), b.column("__text_hash").take(take), pa.array(place, pa.int32()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names=["__doc", "__text_hash", "__place", "__d1", "__d2"])
-
-
-def cut(text: str, repeated: dict[int, object], min_words: int, spans: list[tuple[int, int, int]] | None = None) -> tuple[str, list[tuple[int, int]], int]:
-    """The text without its repeated runs, the spans cut out, and the number of units in them.
-
-    repeated: places of repeated units, with the document of the earliest occurrence.
+    for b in batches:
+        for lo, texts in _groups(b.column("__text").to_pylist()):
+            u = Units(texts)
+            at = np.flatnonzero(u.earliest == np.arange(len(u.earliest)))
+            take = pa.array(lo + u.owner[at])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("__doc").take(take), b.column("__text_hash").take(take), pa.array(u.place[at].astype(np.int32)), pa.array(u.d1[at].view(np.int64)), pa.array(u.d2[at].view(np.int64))], names=["__doc", "__text_hash", "__place", "__d1", "__d2"]
+            )
+
+
+def cut(texts: list[str], u: Units, elsewhere: np.ndarray, min_words: int) -> Iterator[tuple[str, list[tuple[int, int]], int]]:
+    """Each text without its repeated runs, the spans cut out, and the number of units in them.
+
+    elsewhere: for each unit that is the first of its digest in its text, whether another text has it earlier. A unit
+    is repeated if that is so, or if it isn't the first of its digest in its text.
     """
-    spans, gone, removed, k = spans or units(text), [], 0, 0
-    while k < len(spans):
-        if k not in repeated:
-            k += 1
+    n = len(u.earliest)
+    repeated = elsewhere[u.earliest] | (u.earliest != np.arange(n))
+    begins = np.flatnonzero(repeated & ~((u.place > 0) & np.append(False, repeated[:-1]))) if n else np.zeros(0, np.int64)
+    ends = np.flatnonzero(repeated & ~np.append((u.place[1:] > 0) & repeated[1:], False)) if n else begins
+    words = np.concatenate([[0], np.cumsum(u.words)])
+    long = words[ends + 1] - words[begins] >= min_words
+    begins, ends = begins[long], ends[long]
+    gone: dict[int, list[tuple[int, int, int]]] = {}
+    for i, lo, hi, k in zip(u.owner[begins].tolist(), u.start[begins].tolist(), u.following[ends].tolist(), (ends - begins + 1).tolist(), strict=True):
+        gone.setdefault(i, []).append((lo, hi, k))
+    for i, text in enumerate(texts):
+        runs = gone.get(i)
+        if not runs:
+            yield text, [], 0
             continue
-        end = k
-        while end < len(spans) and end in repeated:
-            end += 1
-        if sum(len(text[a:b].split()) for a, b, _ in spans[k:end]) >= min_words:
-            gone.append((spans[k][0], spans[end - 1][2]))
-            removed += end - k
-        k = end
-    if not gone:
-        return text, [], 0
-    kept, at = [], 0
-    for lo, hi in gone:
-        kept.append(text[at:lo])
-        if "\n" in text[lo:hi] and hi < len(text) and kept[-1] and not kept[-1].endswith("\n"):
-            kept.append("\n")
-        at = hi
-    kept.append(text[at:])
-    return "".join(kept), gone, removed
+        kept, at = [], 0
+        for lo, hi, _ in runs:
+            kept.append(text[at:lo])
+            if "\n" in text[lo:hi] and hi < len(text) and kept[-1] and not kept[-1].endswith("\n"):
+                kept.append("\n")
+            at = hi
+        kept.append(text[at:])
+        yield "".join(kept), [(lo, hi) for lo, hi, _ in runs], sum(k for _, _, k in runs)
 
 
 def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,7 +242,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     total = groups.agg(F.sum("__n")).first()[0] or 0
     met = join_hot(unit_rows, groups, ["__d1", "__d2"], F.col("__n"), total)
     elsewhere = met.filter(~F.col("__doc").eqNullSafe(F.col("__first")) | (F.col("__doc").isNull() & (F.col("__text_hash") != F.col("__least"))))
-    places = elsewhere.groupBy(*_KEY).agg(F.collect_set(F.struct(F.col("__place").alias("p"), F.col("__first").alias("d"))).alias("__places"))
+    places = elsewhere.groupBy(*_KEY).agg(F.collect_set("__place").alias("__places"))
     places = places.select(F.col("__doc").alias("__pd"), F.col("__text_hash").alias("__ph"), "__places")
     joined = keyed.join(places, keyed["__doc"].eqNullSafe(F.col("__pd")) & (keyed["__text_hash"] == F.col("__ph")), "left").drop("__pd", "__ph", "__doc", "__text_hash")
     names = docs.columns
@@ -182,19 +250,18 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("substring")
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                b = whole.slice(lo, 1000)
-                out = []
-                for own, t, p in zip(b.column(id_col).to_pylist(), b.column(text_col).to_pylist(), b.column("__places").to_pylist(), strict=True):
-                    if not t:
-                        out.append((t, [], 0, 0))
-                        continue
-                    spans = units(t)
-                    repeated = repeated_places(t, own, {x["p"]: x["d"] for x in p or ()}, spans)
-                    out.append((*cut(t, repeated, min_words, spans), len(spans)) if repeated else (t, [], 0, len(spans)))
+            for lo, texts in _groups(whole.column(text_col).to_pylist()):
+                b = whole.slice(lo, len(texts))
+                u = Units(texts)
+                places = b.column("__places")
+                sizes = pc.fill_null(pc.list_value_length(places), 0).to_numpy()
+                elsewhere = np.zeros(len(u.place), bool)
+                elsewhere[np.repeat(u.first[:-1], sizes) + places.flatten().to_numpy()] = True
+                out = list(cut(texts, u, elsewhere, min_words))
+                given = b.column(text_col).is_valid().to_pylist()
                 columns = {c: b.column(c) for c in names}
-                columns[text_col] = pa.array([x[0] for x in out], pa.string())
-                columns["n_units"] = pa.array([x[3] for x in out], pa.int64())
+                columns[text_col] = pa.array([x[0] if ok else None for x, ok in zip(out, given, strict=True)], pa.string())
+                columns["n_units"] = pa.array(np.diff(u.first))
                 columns["n_removed"] = pa.array([x[2] for x in out], pa.int64())
                 columns["removed_chars"] = pa.array([sum(q - p for p, q in x[1]) for x in out], pa.int64())
                 columns["removed_spans"] = pa.array([[{"start": p, "stop": q} for p, q in x[1]] for x in out], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
