@@ -50,8 +50,8 @@ LEAST_MATCHES = ((0, 1), (40, 2), (80, 4), (160, 8), (320, 16), (640, 32), (1280
 GROUP_WEIGHT = 1_000_000
 #: Documents of a group from which it is dealt into bands and blocks.
 GROUP_DOCS = 200
-#: Blocks have a sixteenth of a band's documents, but so many at least and at most.
-BLOCK_DOCS = (100, 2000)
+#: Blocks have a quarter of a band's documents, but so many at least and at most: smaller ones would send sets more often.
+BLOCK_DOCS = (500, 2000)
 
 
 def least_matches(n: int) -> int:
@@ -328,7 +328,7 @@ def _grouped(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_
     banded = members.join(large_cells, "cell", "left").withColumn("band", F.explode(F.when(F.col("large"), F.array(band, band + 1)).otherwise(F.array(F.lit(0)))))
     banded = store.put(banded.select("cell", "band", "rep", "d1", "n"))
     weights = store.put(banded.groupBy("cell", "band").agg(F.sum("n").alias("w"), F.count("*").alias("m")).filter("m > 1"))
-    per_block = F.greatest(F.lit(BLOCK_DOCS[0]), F.least(F.lit(BLOCK_DOCS[1]), F.ceil(F.col("m") / 16)))
+    per_block = F.greatest(F.lit(BLOCK_DOCS[0]), F.least(F.lit(BLOCK_DOCS[1]), F.ceil(F.col("m") / 4)))
     by_docs = F.when(F.col("m") > GROUP_DOCS, F.ceil(F.col("m") / per_block)).otherwise(1)
     blocks = F.greatest(F.ceil(F.col("w") / GROUP_WEIGHT), by_docs).cast("int").alias("blocks")
     in_cells = join_hot(banded, weights, ["cell", "band"], F.col("m"), max(1, total)).select("rep", "d1", F.struct("cell", "band", blocks).alias("c"))
