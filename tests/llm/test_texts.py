@@ -386,6 +386,21 @@ def test_shingle_sets():
 # ---- passages
 
 
+def mixed(x):
+    x = ((x ^ x >> 29) * 0xBF58476D1CE4E5B9) % 2**64
+    x = ((x ^ x >> 32) * 0x94D049BB133111EB) % 2**64
+    return x ^ x >> 29
+
+
+def word_number(word):
+    """What decides where long sentences are cut: a polynomial over the lower-cased characters."""
+    total = 0
+    for k, c in enumerate(word):
+        low = c.lower() if len(c.lower()) == 1 else c
+        total += mixed((ord(low) + 0x9E3779B97F4A7C15) % 2**64) * pow(0x9E3779B97F4A7C15, k, 2**64)
+    return mixed(total % 2**64)
+
+
 def brute_units(text):
     """Units by their definition, word by word: (start, end, start of the next)."""
     ends = [(m.start() + (text[m.start()] != "\n"), m.end()) for m in re.finditer(r"[.!?]\s+|\n\s*", text)]
@@ -399,7 +414,7 @@ def brute_units(text):
     out = []
     for start, end, following in sentences:
         found = [(m.start(), m.end()) for m in re.finditer(r"\S+", text[start:end])]
-        h = [zlib.crc32(text[start + a : start + b].lower().encode()) for a, b in found]
+        h = [word_number(text[start + a : start + b]) for a, b in found]
         cuts, last = [], -99
         for i in range(4, len(h) - 4) if len(h) > 16 else ():
             if i - last > 4 and all(h[i] < x for x in h[i - 4 : i]) and all(h[i] <= x for x in h[i + 1 : i + 5]):
@@ -452,7 +467,22 @@ def brute_cut(rows, least):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["one ", "two ", "Three. ", "four\n", " \n\n", "five! ", "six? seven ", "a.b ", "end.", "x y z w v u t s r q p o n m ", "ß é\t"]), max_size=25).map("".join))
 def test_units_by_definition(text):
-    assert substring_dedup.units(text) == brute_units(text)
+    got = substring_dedup.Units(["x", text, "", text]).spans(1)
+    want = brute_units(text)
+    assert [(a, c) for a, _, c in got] == [(a, c) for a, _, c in want]
+    assert [text[a:b].split() for a, b, _ in got] == [text[a:b].split() for a, b, _ in want]
+
+
+def test_units_of_long_texts(monkeypatch):
+    """Cutting a text into parts for the scan changes nothing; digests follow the words alone."""
+    text = "\n".join(prose(k, 50) + random.Random(k).choice([".", "", "!  ", "\U0001F600"]) for k in range(60))
+    whole = substring_dedup.Units([text, text.upper().replace(" ", "  "), prose(2, 30)])
+    monkeypatch.setattr(substring_dedup, "SLICE", 97)
+    parts = substring_dedup.Units([text, text.upper().replace(" ", "  "), prose(2, 30)])
+    for name in ("start", "end", "following", "words", "d1", "d2", "earliest", "owner"):
+        assert (getattr(whole, name) == getattr(parts, name)).all()
+    one, two = (whole.owner == 0), (whole.owner == 1)
+    assert (whole.d1[one] == whole.d1[two]).all() and (whole.d2[one] == whole.d2[two]).all() and len(set(whole.d1.tolist())) > 60
 
 
 @pytest.mark.parametrize("least", [1, 20])
