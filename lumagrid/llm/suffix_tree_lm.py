@@ -43,9 +43,9 @@ LEAST = 2
 WEIGHT = 10.0
 DIVERGENCE = 1.0
 #: Tokens of a chunk (one document more at most).
-CHUNK = 1_300_000
+CHUNK = 1_050_000
 #: The lengths of contexts that are asked for together; longer steps are fewer passes and more keys.
-STEPS = ((1,), (2,), (3,), (4,))
+STEPS = ((1,), (2,), (3, 4))
 #: Buckets are 2 ** bits: so many keys each, and so many buckets at least.
 BUCKET_KEYS = 1_500_000
 LEAST_BITS = 7
@@ -55,6 +55,7 @@ GAIN = 100
 _K = np.uint64(0xC2B2AE3D27D4EB4F)
 
 ASKED = "bucket int, round int, chunk long, n int, keys binary, numbers binary"
+ANSWERS = "array<struct<round: int, bucket: int, n: int, numbers: binary>>"
 ANSWERED = "chunk long, round int, bucket int, n int, numbers binary, total long, distinct long"
 
 
@@ -377,31 +378,30 @@ def score_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text")
     rows = docs.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 7) == 2, F.lit(False)).alias("held_out"), learned_from(F.col("doc_id"), 7, 2).alias("learn"), text)
     run, fields = _chunks(kind)
-    chunks = store.put(rows.mapInArrow(run, fields))
-    tokens = chunks.agg(F.sum("tokens")).first()[0] or 0
+    # Chunks with all answers so far, a few bytes for each of a chunk's keys.
+    state = store.put(rows.mapInArrow(run, fields).withColumn("answers", F.expr(f"CAST(array() AS {ANSWERS})")))
+    tokens = state.agg(F.sum("tokens")).first()[0] or 0
     bits = min(30, max(LEAST_BITS, math.ceil(math.log2(max(1, tokens) / BUCKET_KEYS))))
-    answers: list[DataFrame] = []
     done: list[int] = []
 
-    def known() -> DataFrame:
-        """Chunks with all answers so far: a chunk's answers are a few bytes for each of its keys."""
-        if not answers:
-            return chunks
-        every = answers[0]
-        for a in answers[1:]:
-            every = every.unionByName(a)
-        own = every.filter("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("round", "bucket", "n", "numbers")).alias("answers"))
-        return chunks.join(own, "chunk")
-
-    def ask(rounds: list[int], wanted: Callable) -> None:
-        asked = known().mapInArrow(_asking(bits, list(done), wanted), ASKED)
+    def ask(rounds: list[int], wanted: Callable) -> tuple[int, int]:
+        """A round; the new state is written before the next one is asked for, so that one exchange at a time needs disk."""
+        nonlocal state
+        asked = state.mapInArrow(_asking(bits, list(done), wanted), ASKED)
+        answered = store.put(asked.repartition("bucket").sortWithinPartitions("bucket", "round").mapInArrow(_answering, ANSWERED))
         done.extend(rounds)
-        answers.append(store.put(asked.repartition("bucket").sortWithinPartitions("bucket", "round").mapInArrow(_answering, ANSWERED)))
-
-    ask([0], _word_round)
-    total, distinct = answers[0].agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+        own = answered.filter("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("round", "bucket", "n", "numbers")).alias("new"))
+        joined = state.join(own, "chunk", "left").withColumn("answers", F.when(F.col("new").isNull(), F.col("answers")).otherwise(F.concat("answers", "new"))).drop("new")
+        found = answered.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+        following = store.put(joined)
+        store.drop(state)
+        store.drop(answered)
+        state = following
+        return found
+
+    total, distinct = ask([0], _word_round)
     whole = total + distinct + 1
     # The contexts of a step are tested in the round after it, together with the next step.
     for step, tested in zip([*STEPS, ()], [(), *STEPS], strict=True):
         ask([*step, *(GAIN + o for o in tested)], _round(step, tested, whole))
-    return known().mapInArrow(_scoring(whole, total, done), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return state.mapInArrow(_scoring(whole, total, done), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
