@@ -43,7 +43,7 @@ LEAST = 2
 WEIGHT = 10.0
 DIVERGENCE = 1.0
 #: Tokens of a chunk (one document more at most).
-CHUNK = 1_050_000
+CHUNK = 1_200_000
 #: The lengths of contexts that are asked for together; longer steps are fewer passes and more keys.
 STEPS = ((1,), (2,), (3, 4))
 #: Buckets are 2 ** bits: so many keys each, and so many buckets at least.
