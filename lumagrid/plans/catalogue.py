@@ -337,10 +337,9 @@ def _(spark, sf_dir):
     return videos(spark, sf_dir).select("id", geometry.output_rate(F.when(F.col("id") % 7 == 0, 24).otherwise(0), F.col("rate")).alias("rate_out"))
 
 
-@query("video_text", f"WITH {VIDEOS} SELECT id, printf('Video: %dx%d, %.2f FPS, %.2fs, %d frames, %s', 1920, 1080, rate, 2.5::DOUBLE, frames, 'h264') AS text FROM i WHERE rate IN (25, 30)")
+@query("video_text", f"WITH {VIDEOS} SELECT id, printf('Video: %dx%d, %.2f FPS, %.2fs, %d frames, %s', 1920, 1080, rate, 2.5::DOUBLE, frames, 'h264') AS text FROM i")
 def _(spark, sf_dir):
-    v = videos(spark, sf_dir).filter(F.col("rate").isin(25.0, 30.0))
-    return v.select("id", report.video_text(F.lit(1920), F.lit(1080), F.col("rate"), F.lit(2.5), F.col("frames"), F.lit("h264")).alias("text"))
+    return videos(spark, sf_dir).select("id", report.video_text(F.lit(1920), F.lit(1080), F.col("rate"), F.lit(2.5), F.col("frames"), F.lit("h264")).alias("text"))
 
 
 @query("seek_times", f"WITH {VIDEOS} SELECT id, CAST(floor(nb / rate * 1e6::DOUBLE) AS BIGINT) AS us FROM i WHERE rate > 0")
@@ -436,16 +435,16 @@ def _(spark, sf_dir):
     return media.frame_stats(times(spark, sf_dir))
 
 
-@query("progress_per_second", """WITH c AS (SELECT date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1),
+@query("progress_per_second", """WITH c AS (SELECT date_trunc('second', ts) AS h, count(*) AS n FROM events GROUP BY 1),
     d AS (SELECT h, n, sum(n) OVER (PARTITION BY date_trunc('day', h) ORDER BY h) AS total FROM c)
-    SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS hour, CAST(total AS BIGINT) AS total, CAST(total - coalesce(lag(total) OVER (PARTITION BY date_trunc('day', h) ORDER BY h), 0) AS BIGINT) AS since_last FROM d""")
+    SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS second, CAST(total AS BIGINT) AS total, CAST(total - coalesce(lag(total) OVER (PARTITION BY date_trunc('day', h) ORDER BY h), 0) AS BIGINT) AS since_last FROM d""")
 def _(spark, sf_dir):
     from pyspark.sql import Window
 
     day = Window.partitionBy(F.date_trunc("day", "h")).orderBy("h")
-    c = adapters.read(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("h")).agg(F.count("*").alias("n"))
+    c = adapters.read(spark, sf_dir, "events").groupBy(F.date_trunc("second", "ts").alias("h")).agg(F.count("*").alias("n"))
     c = c.withColumn("total", F.sum("n").over(day)).withColumn("since_last", F.col("total") - F.coalesce(F.lag("total").over(day), F.lit(0)))
-    return c.select(F.date_format("h", "yyyy-MM-dd HH:mm:ss").alias("hour"), "total", "since_last")
+    return c.select(F.date_format("h", "yyyy-MM-dd HH:mm:ss").alias("second"), "total", "since_last")
 
 
 @query("percent_complete", """WITH p AS (SELECT event_id // 1000 AS video_id, event_id, 100.0::DOUBLE * count(*) OVER (PARTITION BY event_id // 1000 ORDER BY event_id) / 1000 AS percent FROM events)
