@@ -140,20 +140,46 @@ def packed_render(frames: DataFrame, atlas: DataFrame, columns: int, rows: int,
     return frames.select("frame_id", "width", "height", "data").mapInArrow(run, "frame_id long, width int, height int, data binary")
 
 
+def to_yuv(rgb: np.ndarray) -> list[np.ndarray]:
+    """(h, w, 3) -> planes y, u, v of 4:2:0 in limited range; a 2 x 2 mean makes the chroma, so sizes have to be even."""
+    h, w, _ = rgb.shape
+    if w % 2 or h % 2:
+        raise ValueError("4:2:0 needs an even width and height")
+    r, g, b = np.moveaxis(rgb.astype(np.int32), 2, 0)
+    y = ((66 * r + 129 * g + 25 * b + 128) >> 8) + 16
+    u, v = ((-38 * r - 74 * g + 112 * b + 128) >> 8) + 128, ((112 * r - 94 * g - 18 * b + 128) >> 8) + 128
+    half = [(p.reshape(h // 2, 2, w // 2, 2).sum((1, 3)) + 2) >> 2 for p in (u, v)]
+    return [p.astype(np.uint8) for p in (y, *half)]
+
+
+def from_yuv(planes: list[np.ndarray], shared: tuple[int, int]) -> np.ndarray:
+    """Planes in limited range -> (h, w, 3); a chroma sample counts for all ``shared`` (columns, rows) of its pixels."""
+    h, w = planes[0].shape
+    y = 298 * (planes[0].astype(np.int32) - 16) + 128
+    if len(planes) == 1:
+        u = v = np.zeros_like(y)
+    else:
+        u, v = (p.astype(np.int32).repeat(shared[1], 0).repeat(shared[0], 1)[:h, :w] - 128 for p in planes[1:])
+    rgb = np.stack([y + 409 * v, y - 100 * u - 208 * v, y + 516 * u], 2) >> 8
+    return np.clip(rgb, 0, 255).astype(np.uint8)
+
+
 def yuv420p(frames: DataFrame) -> DataFrame:
-    """RGB24 -> planar YUV 4:2:0 (limited range); sizes have to be even. A 2 x 2 mean makes the chroma."""
+    """RGB24 -> planar YUV 4:2:0 (``to_yuv``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for w, h, d in zip(b.column("width").to_pylist(), b.column("height").to_pylist(), b.column("data"), strict=True):
-                if w % 2 or h % 2:
-                    raise ValueError("4:2:0 needs an even width and height")
-                r, g, c = np.moveaxis(np.frombuffer(d.as_buffer(), np.uint8).reshape(h, w, 3).astype(np.int32), 2, 0)
-                y = ((66 * r + 129 * g + 25 * c + 128) >> 8) + 16
-                u, v = ((-38 * r - 74 * g + 112 * c + 128) >> 8) + 128, ((112 * r - 94 * g - 18 * c + 128) >> 8) + 128
-                half = [(p.reshape(h // 2, 2, w // 2, 2).sum((1, 3)) + 2) >> 2 for p in (u, v)]
-                out.append(b"".join(p.astype(np.uint8).tobytes() for p in (y, *half)))
+            sizes = zip(b.column("width").to_pylist(), b.column("height").to_pylist(), b.column("data"), strict=True)
+            out = [b"".join(p.tobytes() for p in to_yuv(np.frombuffer(d.as_buffer(), np.uint8).reshape(h, w, 3))) for w, h, d in sizes]
             yield pa.RecordBatch.from_arrays([b.column("frame_id"), b.column("width"), b.column("height"), pa.array(out, pa.binary())], names=["frame_id", "width", "height", "data"])
 
     return frames.select("frame_id", "width", "height", "data").mapInArrow(run, "frame_id long, width int, height int, data binary")
+
+
+def unpack_yuv420p(frames: DataFrame) -> DataFrame:
+    """(frame_id, plane, y, x, v): planes 0 to 2, chroma at half the size."""
+    n, i = F.col("width") * F.col("height"), F.col("i")
+    at = frames.select("*", F.explode(F.sequence(F.lit(0), F.length("data") - 1)).alias("i"))
+    plane = F.when(i < n, 0).when(i < n + n / 4, 1).otherwise(2)
+    at = at.select("frame_id", plane.alias("plane"), (i - F.when(plane == 0, 0).when(plane == 1, n).otherwise(n + n / 4)).cast("int").alias("k"), F.when(plane == 0, F.col("width")).otherwise((F.col("width") / 2).cast("int")).alias("w"), F.conv(F.hex(F.substring("data", i + 1, F.lit(1))), 16, 10).cast("int").alias("v"))
+    return at.select("frame_id", "plane", F.floor(F.col("k") / F.col("w")).cast("int").alias("y"), (F.col("k") % F.col("w")).alias("x"), "v")

@@ -272,9 +272,14 @@ for _name, (_w, _h, _tw, _th) in {"render_margin": (64, 36, 12, 7), "render_clip
         return render.full_frame(p, card, plan.width, plan.height)
 
 
-@query("font_first_match", "SELECT 'DejaVu Sans Mono' AS family")
+_FONTS = ", ".join(f"({i}, '{f}')" for i, f in enumerate(render.FONT_CANDIDATES))
+
+
+@query("font_first_match", f"""SELECT coalesce((SELECT f FROM (VALUES {_FONTS}) c(i, f) WHERE lower(f) IN
+    (SELECT lower(f) FROM part, (VALUES {_FONTS}) d(i, f) WHERE d.i = 3 + p_size % 5) ORDER BY i LIMIT 1), 'monospace') AS family""")
 def _(spark, sf_dir):
-    have = spark.createDataFrame([("Arial",), ("dejavu sans mono",), ("COURIER",)], "family string")
+    names = F.array(*[F.lit(f.upper()) for f in render.FONT_CANDIDATES])
+    have = adapters.read(spark, sf_dir, "part").select(F.element_at(names, (F.col("p_size") % 5 + 4).cast("int")).alias("family"))
     return render.first_font(have, "Some Font")
 
 
@@ -480,10 +485,47 @@ def _(spark, sf_dir):
     return packed.unpack(packed.packed_render(event_frames(spark, sf_dir), adapters.synthetic_mask(spark, 4, 5), 10, 5, 4, 5))
 
 
-@query("yuv420p")
+YUV = f"""WITH {ORDERS_PX}, c AS (SELECT *, ((66*r + 129*g + 25*b + 128) >> 8) + 16 AS lum, CAST(floor((-38*r - 74*g + 112*b + 128) / 256.0) AS BIGINT) + 128 AS u,
+    CAST(floor((112*r - 94*g - 18*b + 128) / 256.0) AS BIGINT) + 128 AS v FROM px),
+    q AS (SELECT frame_id, y // 2 AS y, x // 2 AS x, (CAST(sum(u) AS BIGINT) + 2) // 4 AS u, (CAST(sum(v) AS BIGINT) + 2) // 4 AS v FROM c GROUP BY 1, 2, 3)"""
+
+
+def order_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed.pack_pixels(orders_px(spark, sf_dir), 50, 30)
+
+
+def order_video(spark: SparkSession, sf_dir: str) -> str:
+    """The frames as Y4M files, in ten videos of 30000 / 1001 frames a second."""
+    path = streams.work_dir(spark)
+    frames = order_frames(spark, sf_dir)
+    frame_files.write_y4m(frames.withColumn("video_id", F.concat(F.lit("v"), F.col("frame_id") % 10)), path, 30000, 1001)
+    return path
+
+
+@query("yuv420p", f"""{YUV} SELECT {big('frame_id')}, CAST(0 AS BIGINT) AS plane, {big('y', 'x')}, CAST(lum AS BIGINT) AS v FROM c
+    UNION ALL SELECT {big('frame_id')}, 1, {big('y', 'x')}, u FROM q UNION ALL SELECT {big('frame_id')}, 2, {big('y', 'x')}, v FROM q""")
+def _(spark, sf_dir):
+    return packed.unpack_yuv420p(packed.yuv420p(order_frames(spark, sf_dir)))
+
+
+def _byte_sql(red: int, green: int, name: str) -> str:
+    """One channel out of limited-range YUV: the factors of u and v."""
+    return f"CAST(least(255, greatest(0, floor((298*(c.lum - 16) + {red}*(q.u - 128) + {green}*(q.v - 128) + 128) / 256.0))) AS BIGINT) AS {name}"
+
+
+@query("y4m_roundtrip", f"""{YUV} SELECT {big('c.frame_id', 'c.y', 'c.x')}, {_byte_sql(0, 409, 'r')}, {_byte_sql(-100, -208, 'g')}, {_byte_sql(516, 0, 'b')}
+    FROM c JOIN q ON c.frame_id = q.frame_id AND c.y // 2 = q.y AND c.x // 2 = q.x""")
+def _(spark, sf_dir):
+    return packed.unpack(frame_files.read_y4m(spark, order_video(spark, sf_dir)))
+
+
+@query("y4m_info", """WITH n AS (SELECT 'v' || (f % 10) AS video_id, count(*) AS frames FROM (SELECT DISTINCT o_orderkey // 1500 AS f FROM orders) GROUP BY 1)
+    SELECT video_id, CAST(50 AS BIGINT) AS width, CAST(30 AS BIGINT) AS height, '50x30' AS resolution, 30000 / 1001.0::DOUBLE AS rate, CAST(frames AS BIGINT) AS frames, frames / (30000 / 1001.0::DOUBLE) AS seconds, 'rawvideo' AS codec, '420jpeg' AS pixel_format FROM n""")
 def _(spark, sf_dir):
-    even = packed.pack_pixels(orders_px(spark, sf_dir), 50, 30)
-    return packed.yuv420p(even).select("frame_id", "width", "height", F.length("data").alias("bytes"), F.md5("data").alias("md5"))
+    files = frame_files.y4m_info(spark, order_video(spark, sf_dir))
+    v = files.groupBy("video_id", "width", "height", "rate_num", "rate_den", "codec", "pixel_format").agg(F.sum("nb_frames").alias("frames"))
+    v = v.withColumn("rate", geometry.frame_rate(F.col("rate_num"), F.col("rate_den")))
+    return v.select("video_id", "width", "height", F.format_string("%dx%d", "width", "height").alias("resolution"), "rate", "frames", geometry.duration_seconds(F.col("frames"), F.col("rate")).alias("seconds"), "codec", "pixel_format")
 
 
 @query("frame_roundtrip", f"WITH {EVENTS_PX} SELECT {big('frame_id', 'y', 'x', 'r', 'g', 'b')} FROM px")

@@ -145,3 +145,104 @@ def test_plans_have_no_nested_loop(spark):
     card = adapters.test_card(spark, 40, 25, 2).withColumn("gray", color.gray())
     plan = cells.cell_means(card, 40, 25, 10, 5)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_segments(spark, tmp_path, monkeypatch):
+    card = packed.pack_pixels(adapters.test_card(spark, 6, 4, 7), 6, 4).withColumn("video_id", F.lit("a_b"))
+    frame_files.write_ppm(card.coalesce(1), str(tmp_path / "ppm"))
+    assert len(list((tmp_path / "ppm").iterdir())) == 1  # seven frames, one file, nothing temporary
+    rows = {(r["video_id"], r["frame_id"], bytes(r["data"])) for r in card.collect()}
+    assert {(r["video_id"], r["frame_id"], bytes(r["data"])) for r in frame_files.read_ppm(spark, str(tmp_path / "ppm")).collect()} == rows
+    bad = card.withColumn("width", F.when(F.col("frame_id") == 6, 5).otherwise(6))
+    with pytest.raises(Exception, match="size"):
+        frame_files.write_ppm(bad, str(tmp_path / "bad"))
+    assert not (tmp_path / "bad").exists() or not list((tmp_path / "bad").iterdir())
+    frame_files.write_ppm(card.filter("frame_id < 0"), str(tmp_path / "none"))
+    assert frame_files.read_ppm(spark, str(tmp_path / "none")).count() == 0
+
+
+def _yuv_by_hand(rgb):
+    """One frame through 4:2:0 and back, a pixel at a time."""
+    h, w, _ = rgb.shape
+    px = rgb.astype(int)
+    u = lambda y, x: ((-38 * px[y, x, 0] - 74 * px[y, x, 1] + 112 * px[y, x, 2] + 128) >> 8) + 128
+    v = lambda y, x: ((112 * px[y, x, 0] - 94 * px[y, x, 1] - 18 * px[y, x, 2] + 128) >> 8) + 128
+    out = np.zeros_like(rgb)
+    for y in range(h):
+        for x in range(w):
+            lum = ((66 * px[y, x, 0] + 129 * px[y, x, 1] + 25 * px[y, x, 2] + 128) >> 8) + 16
+            four = [(y // 2 * 2 + a, x // 2 * 2 + b) for a in (0, 1) for b in (0, 1)]
+            cu, cv = ((sum(f(*p) for p in four) + 2) // 4 for f in (u, v))
+            c, d, e = 298 * (lum - 16) + 128, cu - 128, cv - 128
+            out[y, x] = [max(0, min(255, t >> 8)) for t in (c + 409 * e, c - 100 * d - 208 * e, c + 516 * d)]
+    return out
+
+
+def test_y4m(spark, tmp_path):
+    card = packed.pack_pixels(adapters.test_card(spark, 8, 6, 5), 8, 6).withColumn("video_id", F.lit("v"))
+    path = str(tmp_path / "y4m")
+    frame_files.write_y4m(card, path, 24000, 1001)
+    want = {r["frame_id"]: _yuv_by_hand(np.frombuffer(bytes(r["data"]), np.uint8).reshape(6, 8, 3)).tobytes() for r in card.collect()}
+    assert {r["frame_id"]: bytes(r["data"]) for r in frame_files.read_y4m(spark, path).collect()} == want
+    info = frame_files.y4m_info(spark, path).collect()
+    assert sum(r["nb_frames"] for r in info) == 5
+    assert {(r["video_id"], r["width"], r["height"], r["rate_num"], r["rate_den"], r["pixel_format"]) for r in info} == {("v", 8, 6, 24000, 1001, "420jpeg")}
+    with pytest.raises(Exception, match="even"):
+        frame_files.write_y4m(packed.pack_pixels(adapters.test_card(spark, 5, 4, 1), 5, 4).withColumn("video_id", F.lit("v")), str(tmp_path / "odd"))
+
+
+def test_y4m_of_others(spark, tmp_path):
+    def put(name, head, *frames):
+        (tmp_path / name).write_bytes(head + b"".join(b"FRAME\n" + f for f in frames))
+
+    y = bytes([16, 81, 145, 235, 16, 235])
+    put("gray.y4m", b"YUV4MPEG2 W3 H2 F25:1 Cmono XA=W9\n", y, y)
+    put("full.y4m", b"YUV4MPEG2 W3 H2 F25:1 C444\n", y + bytes([128] * 12))
+    put("odd.y4m", b"YUV4MPEG2 W3 H2 F25:1\n", y + bytes([128] * 4))
+    put("wide_0007.y4m", b"YUV4MPEG2 W3 H2 F25:1 C422\n", y + bytes([128] * 8))
+    level = [0, 76, 150, 255, 0, 255]
+    rows = frame_files.read_y4m(spark, str(tmp_path)).collect()
+    assert sorted((r["video_id"], r["frame_id"]) for r in rows) == [("full", 0), ("gray", 0), ("gray", 1), ("odd", 0), ("wide", 7)]
+    assert all(list(r["data"])[::3] == level and list(r["data"])[1::3] == level for r in rows)
+    assert {(r["video_id"], r["nb_frames"]) for r in frame_files.y4m_info(spark, str(tmp_path)).collect()} == {("full", 1), ("gray", 2), ("odd", 1), ("wide", 1)}
+    put("bad.y4m", b"YUV4MPEG2 W3 H2 F25:1 C444\n", y)
+    with pytest.raises(Exception, match="cut off"):
+        frame_files.read_y4m(spark, str(tmp_path), "bad.y4m").collect()
+    assert frame_files.y4m_info(spark, str(tmp_path), "bad.y4m").first()["nb_frames"] == 0
+    (tmp_path / "no.y4m").write_bytes(b"RIFF....")
+    for f in (frame_files.read_y4m, frame_files.y4m_info):
+        with pytest.raises(Exception, match="not a YUV4MPEG2"):
+            f(spark, str(tmp_path), "no.y4m").collect()
+
+
+def test_observed(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    seen = Observation("sink")
+    frames = packed.pack_pixels(adapters.test_card(spark, 6, 4, 9), 6, 4).withColumn("video_id", F.lit("v"))
+    frame_files.write_ppm(media.observed(frames, seen), str(tmp_path / "out"))
+    assert seen.get["frames"] == 9
+
+
+def test_stream_late_rows_and_restart(spark, tmp_path):
+    from datetime import datetime
+
+    from lumagrid.streaming import streams
+
+    def put(n, *hours):
+        rows = [(datetime(2024, 1, 1 + h // 24, h % 24),) for h in hours]
+        spark.createDataFrame(rows, "ts timestamp").coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+
+    def run():
+        arriving = spark.readStream.schema("ts timestamp").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        done = streams.count_windows(arriving, str(tmp_path / "out"), str(tmp_path / "state"), "1 hour", "2 hours")
+        return {(r["start"].day - 1) * 24 + r["start"].hour: r["frames"] for r in done.collect()}
+
+    put(1, 1, 1, 2)
+    put(2, 2, 5)
+    assert run() == {1: 2, 2: 2, 5: 1}
+    put(3, 9, 9)
+    assert run() == {1: 2, 2: 2, 5: 1, 9: 2}  # a restart goes on after what is done
+    put(4, 1, 8)  # hour 1 is closed: two hours before 9, so its row is dropped; hour 8 is open
+    assert run() == {1: 2, 2: 2, 5: 1, 8: 1, 9: 2}
+    assert run() == {1: 2, 2: 2, 5: 1, 8: 1, 9: 2}
