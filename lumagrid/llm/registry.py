@@ -93,7 +93,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 QUERIES = {name: _shipped(f) for name, f in QUERIES.items()}
 
+#: CTE comp(id, component): the smallest id that links reach, from a CTE link(a, b) with both directions.
+REACHED = """reach(id, other) AS (SELECT a, b FROM link UNION SELECT r.id, l.b FROM reach r JOIN link l ON r.other = l.a),
+        comp AS (SELECT id, min(other) AS component FROM reach GROUP BY 1)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_dedup": f"""
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        g AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        link AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM g x JOIN g y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+            WHERE x.norm > 0 AND y.norm > 0 AND list_dot_product(x.e, y.e) / (x.norm * y.norm) >= 0.9),
+        {REACHED}
+        SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id) AS n_links, least(vec_id, coalesce(component, vec_id)) AS component_id,
+            vec_id <= coalesce(component, vec_id) AS kept
+        FROM v LEFT JOIN comp ON id = vec_id""",
+    "op6_ngram_join": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+            ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) END AS sh FROM w),
+        g AS MATERIALIZED (SELECT doc_id, len(sh) AS n, unnest(sh) AS t FROM s),
+        link AS MATERIALIZED (SELECT x.doc_id AS a, y.doc_id AS b FROM g x JOIN g y ON x.t = y.t AND x.doc_id <> y.doc_id
+            GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+        {REACHED}
+        SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, least(doc_id, coalesce(component, doc_id)) AS component_id,
+            CASE WHEN len(sh) = 0 THEN 1 ELSE count(*) OVER (PARTITION BY sh) END AS class_size
+        FROM s LEFT JOIN comp ON id = doc_id""",
     "op7_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
