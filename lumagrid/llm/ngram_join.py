@@ -11,10 +11,12 @@ always ask for several matches (``least_matches``), so a document with fewer sha
 Steps, each over all documents:
 1. sets, digests, and the frequent shingles (those of a share of at least FREQUENT of all shingle
    occurrences, so 1 / FREQUENT at most: the only thing that is broadcast); equal sets form one class;
-2. prefixes: (shingle, class), exchanged once by shingle; shingles with a single class are out. A shingle of
-   at most SMALL classes yields its pairs, which are counted; a more common one never yields pairs but ties its
-   classes to the smallest of them. A pair is a candidate if its count, with as many common ones as both
-   have, reaches the matches that sets of that size ask for; ties count only between documents with so many;
+2. prefixes: (shingle, class), exchanged once by shingle (hot ones in SALTS parts); shingles with a single class are
+   out. A shingle of at most SMALL classes yields its pairs, which are counted; a pair is a candidate if its count, with as
+   many common ones as both have, reaches the matches that sets of that size ask for. A more common shingle
+   never yields pairs. A pair without any shingle of few classes shares a common ones at least, if sets of that
+   size ask for a; so the first is among the rarest c - a + 1 of the c that a class has, in the order of the
+   exact number of classes: these alone tie a class to the smallest one that uses the same shingle so;
 3. the connected groups of candidates: each document's set goes to its own group, once; groups of over
    GROUP_WEIGHT shingles or GROUP_DOCS documents are dealt into overlapping bands of sizes and blocks that meet
    two by two. A task counts common prefix members, verifies exactly, and returns edges that span what is
@@ -47,6 +49,9 @@ COUNT_AT_ONCE = 2_000_000
 MATCHES = (1, 2, 4, 8, 16, 32, 64, 128, 256, 512)
 #: (From this size on, at least so many matches); both rise: from a twentieth of the size down to half of that.
 LEAST_MATCHES = ((0, 1), (40, 2), (80, 4), (160, 8), (320, 16), (640, 32), (1280, 64), (2560, 128), (5120, 256))
+#: A shingle is hot from so many occurrences and this share of all on (10,000 shingles at most); its prefixes are dealt into SALTS parts.
+HOT_TOKEN = (50_000, 1e-4)
+SALTS = 64
 GROUP_WEIGHT = 1_000_000
 #: Documents of a group from which it is dealt into bands and blocks.
 GROUP_DOCS = 200
@@ -99,9 +104,14 @@ def _describe(k: int):
 class Order:
     """The global order of shingles and the choice of prefixes."""
 
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray, num: int, den: int):
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray, num: int, den: int, hot_from: int = 1 << 62):
         by = np.argsort(tokens)
         self.tokens, self.counts, self.num, self.den = tokens[by], counts[by], num, den
+        self.hot = self.tokens[self.counts >= hot_from]
+
+    def salts(self, s: np.ndarray, d: int) -> np.ndarray:
+        """1 to SALTS, by the class, for hot shingles; 0 for others."""
+        return np.where(np.isin(s, self.hot), d % SALTS + 1, 0) if len(self.hot) else np.zeros(len(s), np.int64)
 
     def frequency(self, s: np.ndarray) -> np.ndarray:
         """0 for shingles that are not frequent."""
@@ -136,7 +146,7 @@ def _postings(k: int, order):
         o = order.value
         seen: set[int] = set()  # classes of this task: 60 bytes or so each
         for _, sets in _sets(batches, k):
-            prefixes, own = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            prefixes, own, salts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for s in sets:
                 d = _digest(s)[0]
                 if len(s) and d not in seen:
@@ -144,7 +154,8 @@ def _postings(k: int, order):
                     members, p, _ = o.prefix(s)
                     prefixes.append(members[:p])
                     own.append(np.full(p, d))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes).view(np.int64)), pa.array(np.concatenate(own))], names=["token", "d1"])
+                    salts.append(o.salts(members[:p], d))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefixes).view(np.int64)), pa.array(np.concatenate(own)), pa.array(np.concatenate(salts).astype(np.int32))], names=["token", "d1", "salt"])
 
     return run
 
@@ -295,13 +306,18 @@ def _grouped(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_
     least = max(LEAST_FREQUENT, int((occurrences or 0) * FREQUENT))
     often = told.filter("what = 1").groupBy("d1").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
     tokens = often.column("d1").to_numpy().view(np.uint64)
-    order = spark.sparkContext.broadcast(Order(tokens, often.column("n").to_numpy(), num, den))
+    hot_from = max(HOT_TOKEN[0], int((occurrences or 0) * HOT_TOKEN[1]))
+    ordered = Order(tokens, often.column("n").to_numpy(), num, den, hot_from)
+    order = spark.sparkContext.broadcast(ordered)
     classes = store.put(described.filter("n > 0 AND id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
 
-    by_token = Window.partitionBy("token")
-    postings = texts.mapInArrow(_postings(words, order), "token long, d1 long").repartition("token").dropDuplicates(["token", "d1"])
-    postings = postings.withColumns({"met": F.count("*").over(by_token), "pivot": F.min("d1").over(by_token)})
-    postings = store.put(postings.filter("met > 1"))
+    postings = texts.mapInArrow(_postings(words, order), "token long, d1 long, salt int").repartition("token", "salt").dropDuplicates(["token", "salt", "d1"])
+    postings = postings.withColumn("met", F.count("*").over(Window.partitionBy("token", "salt")))
+    postings = store.put(postings.filter("met > 1 OR salt > 0"))
+    staged = postings
+    if len(ordered.hot):
+        hot = postings.filter("salt > 0").groupBy("token").agg(F.count("*").alias("all"))
+        postings = postings.join(F.broadcast(hot), "token", "left").withColumn("met", F.coalesce("all", "met")).filter("met > 1")
     common = postings.filter(F.col("met") > SMALL)
     info = classes.select("d1", "n", "rep").join(common.groupBy("d1").agg(F.count("*").alias("common")), "d1", "left").fillna(0, ["common"])
     info = store.put(info)
@@ -315,11 +331,14 @@ def _grouped(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     candidates = counted.join(side("a"), "a").join(side("b"), "b").filter((large * num <= small * den) & (F.col("both") + F.least("c_a", "c_b") >= asked(small))).select("a", "b")
     # A partner's set has at least needed(n) members and asks for the matches of that size at least.
-    enough = info.filter((F.col("common") > 0) & (F.col("common") >= asked(F.ceil(F.col("n") * num / den)))).select("d1")
-    ties = common.filter("d1 != pivot").join(enough, "d1", "left_semi").select(F.col("pivot").alias("a"), F.col("d1").alias("b")).distinct()
+    rarest = F.row_number().over(Window.partitionBy("d1").orderBy("met", "token"))
+    ties = common.select("token", "d1", "met").join(info.filter("common > 0").select("d1", "n", F.col("common").alias("own")), "d1").withColumn("at", rarest)
+    ties = store.put(ties.filter(F.col("at") <= F.col("own") + 1 - asked(F.ceil(F.col("n") * num / den))).select("token", "d1"))
+    pivots = store.put(ties.groupBy("token").agg(F.min("d1").alias("pivot"), F.count("*").alias("users")).filter("users > 1"))
+    ties = join_hot(ties, pivots, ["token"], F.col("users"), max(1, ties.count())).filter("d1 != pivot").select(F.col("pivot").alias("a"), F.col("d1").alias("b")).distinct()
     grouped = components(candidates.union(ties), store).select(F.col("node").alias("d1"), F.col("component").alias("cell"))
     members = store.put(grouped.join(info.select("d1", "n", "rep"), "d1"))
-    store.drop(postings)
+    store.drop(staged)
     big = lambda w, m: (w > GROUP_WEIGHT) | (m > GROUP_DOCS)
     weights = members.groupBy("cell").agg(F.sum("n").alias("w"), F.count("*").alias("m"))
     large_cells = weights.filter(big(F.col("w"), F.col("m"))).select("cell", F.lit(True).alias("large"))

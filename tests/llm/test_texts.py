@@ -344,6 +344,27 @@ def test_similar_edges(spark, odd, nothing):
     assert ngram_join.drop_similar(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("frequent", [8, 10**9])
+@pytest.mark.parametrize("hot", [(1, 1e-9), (50_000, 1e-4)])
+def test_common_shingles_tie_what_links(spark, monkeypatch, frequent, hot):
+    """Passages that many otherwise unlike documents share, with hot shingles dealt into parts or not, in any order."""
+    monkeypatch.setattr(ngram_join, "SMALL", 2)
+    monkeypatch.setattr(ngram_join, "LEAST_FREQUENT", frequent)
+    monkeypatch.setattr(ngram_join, "HOT_TOKEN", hot)
+    rng = random.Random(31)
+    passages = [prose(900 + i, 40) for i in range(5)]
+    rows = []
+    for g in range(30):
+        base = f"{prose(300 + g, rng.choice([2, 20, 60, 150]))} {rng.choice(passages)} {rng.choice(passages)}".split()
+        for _ in range(rng.randint(1, 5)):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 40))):
+                w[rng.randrange(len(w))] = rng.choice("xq zz vv kk".split())
+            rows.append((len(rows), " ".join(w)))
+    got = ngram_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 4, 5).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_groups(rows, 3, 4, 5)
+
+
 def test_blocks_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "GROUP_DOCS", 7)
     monkeypatch.setattr(ngram_join, "BLOCK_DOCS", (4, 6))
