@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import Staging
 from .joins import components, join_hot
 from .shingles import shingle_sets, slices
+from .worker import claim
 
 #: A shingle is frequent from this share of all on (and from LEAST_FREQUENT occurrences).
 FREQUENT = 2e-7
@@ -64,6 +65,7 @@ def least_matches(n: int) -> int:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    claim("ngrams")
     for b in batches:
         for lo, part in slices(b.column("__text").to_pylist()):
             yield b.slice(lo, len(part)), list(shingle_sets(part, k))
@@ -219,41 +221,53 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def linked(sets: list[np.ndarray], prefix: np.ndarray, matches: np.ndarray, block: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Edges that span the linked documents of a cell; across blocks only, if there are two."""
+    """Edges that span the linked documents of a cell; across blocks only, if there are two.
+
+    Pairs are taken row by row, so that no list of all candidates is made.
+    """
     m = len(sets)
     if m < 2:
         return []
     n = np.array([len(s) for s in sets], np.int64)
-    asked = np.minimum(matches[:, None], matches[None, :])
-    ok = _common([s[:p] for s, p in zip(sets, prefix, strict=True)]) >= asked
-    ok &= den * np.minimum(n[:, None], n[None, :]) >= num * np.maximum(n[:, None], n[None, :])
-    if block.min() != block.max():
-        ok &= block[:, None] != block[None, :]
-    a, b = np.nonzero(np.triu(ok, 1))
-    parent = list(range(m))
-
-    def top(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    every = _common(sets) if len(a) > 4 * m else None
+    common = _common([s[:p] for s, p in zip(sets, prefix, strict=True)])
+    two = block.min() != block.max()
+    ok = np.zeros((m, m), bool)
+    for i in range(m - 1):
+        j = slice(i + 1, m)
+        ok[i, j] = (common[i, j] >= np.minimum(matches[i], matches[j])) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
+        if two:
+            ok[i, j] &= block[i] != block[j]
+    del common
+    every = _common(sets) if np.count_nonzero(ok) > 4 * m else None
+    root = np.arange(m)
     edges = []
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = top(i), top(j)
-        if x == y:
+
+    def merge(i: int, others: np.ndarray) -> None:
+        edges.extend((i, int(j)) for j in others)
+        roots = np.append(root[others], root[i])
+        root[np.isin(root, roots)] = roots.min()
+
+    for i in range(m - 1):
+        j = np.flatnonzero(ok[i])
+        j = j[root[j] != root[i]]
+        if every is not None:
+            both = every[i, j].astype(np.int64)
+            j = j[den * both >= num * (n[i] + n[j] - both)]
+            if len(j):
+                merge(i, j[np.unique(root[j], return_index=True)[1]])
             continue
-        both = int(every[i, j]) if every is not None else len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        if den * both >= num * int(n[i] + n[j] - both):
-            parent[max(x, y)] = min(x, y)
-            edges.append((i, j))
+        for x in j.tolist():
+            if root[x] != root[i]:
+                both = len(np.intersect1d(sets[i], sets[x], assume_unique=True))
+                if den * both >= num * int(n[i] + n[x] - both):
+                    merge(i, np.array([x]))
     return edges
 
 
 def _verified(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (cell, band, x, y); one cell (or pair of blocks) is held at a time."""
+        claim("ngrams")
         key, held, found = None, {}, []
 
         def close() -> None:
